@@ -209,7 +209,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     needed = needed_matches(threshold, tolerance)
     dealt = candidates.select("g", "i", "j", "blk", "rep", "sig").repartition(parts, "g").sortWithinPartitions("g")
     edges = dealt.mapInPandas(lambda frames: _by_group(frames, lambda p: prune(p, needed), ["src", "dst"]), "src bigint, dst bigint")
-    groups = connected_components(edges, durable).withColumnRenamed("node", "rep")
+    groups = connected_components(edges, durable, local_edges=0).withColumnRenamed("node", "rep")
     groups = durable(groups.join(reps.select("rep", "copies"), "rep"))
 
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
@@ -221,7 +221,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     linked = durable(rows.mapInPandas(lambda frames: _by_group(frames, lambda p: verify(p, threshold), ["rep", "links", "low"]), "rep bigint, links bigint, low bigint"))
 
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(linked.select(F.col("rep").alias("src"), F.col("low").alias("dst")), durable).withColumnRenamed("node", "rep")
+    classes = connected_components(linked.select(F.col("rep").alias("src"), F.col("low").alias("dst")), durable, local_edges=0).withColumnRenamed("node", "rep")
     known = reps.select("set_key", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
     known = known.select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return found.select("doc_id", "set_key").join(known, "set_key").select("doc_id", "class_id", "n_links")
