@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
+#: Up to so many edges in all, counted first, one task finds the components; beyond it the rounds below do.
+LOCAL_EDGES = 50_000
 
 
-def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+def _local(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if not parts:
+            return
+        for key, part in pd.concat(parts).groupby(keys or (lambda _: 0)):
+            nodes, at = np.unique(part[["src", "dst"]].to_numpy().T.ravel(), return_inverse=True)
+            a, b = at.reshape(2, -1)
+            root = np.arange(len(nodes))
+            while True:
+                low = np.minimum(root[a], root[b])
+                new = root.copy()
+                np.minimum.at(new, root[a], low)
+                np.minimum.at(new, root[b], low)
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            out = pd.DataFrame({"node": nodes, "root": nodes[root]})
+            for name, value in zip(keys, key if isinstance(key, tuple) else (key,), strict=False):
+                out.insert(0, name, value)
+            yield out[[*keys, "node", "root"]]
+
+    return run
+
+
+def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = (), local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(keys..., node, root) for every node of the edges (keys..., src, dst); root is the least node of its component.
 
     Each round is two aggregations by node (with map-side combine) and joins that adaptive execution may split, so a
@@ -39,6 +69,9 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
     seen = edges.select(*both).where("src is not null and dst is not null")
     current = settle(seen.where("src <> dst").select(*keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     last = mark(current)
+    if 0 < last[0] <= local_edges:
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in current.select(*keys).schema.fields)
+        return settle(current.coalesce(1).mapInPandas(_local(keys), f"{kinds}{', ' if keys else ''}node long, root long"))
     for _ in range(MAX_ROUNDS):
         if not last[0]:
             break
