@@ -437,7 +437,7 @@ def _lines_sql(lines: list[tuple[float, float, float, float, int]]) -> str:
 _H = [(-2.0, 0.0, -3.8, 2.4, 7), (-2.0, 0.0, -3.8, -2.4, 7), (2.0, 0.0, 3.8, 2.4, 7), (2.0, 0.0, 3.8, -2.4, 7), (-2.0, 0.0, 2.0, 0.0, 9)]
 _GRID = [(0.0, 4.0 * j, 12.0, 4.0 * j, 25) for j in range(3)] + [(4.0 * i, 0.0, 4.0 * i, 8.0, 17) for i in range(4)]
 _GENERATED = {
-    "open_chain": _gen_sql("range(25) r(i)", "i * 0.5", "2 * sin(i * 0.5 / 12 * pi())", "0.0::DOUBLE"),
+    "open_chain": _gen_sql("range(25) r(i)", "i * 0.5::DOUBLE", "2 * sin(i * 0.5 / 12 * pi())", "0.0::DOUBLE"),
     "loop": _gen_sql("range(40) r(i)", "4 * cos(2 * pi() * i / 40)", "4 * sin(2 * pi() * i / 40)", "1.2 * sin(2 * pi() * i / 40)"),
     "y_junction": _gen_sql("range(19) r(i)", f"({_Y.format(f='cos')})", f"({_Y.format(f='sin')})", "0.0::DOUBLE"),
     "h_network": _gen_sql(f"({_lines_sql(_H)})", "x", "y", "0.0::DOUBLE"),
