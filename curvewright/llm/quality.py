@@ -27,6 +27,8 @@ WIDTH = 1024
 EVENTS = 5
 RANK = 48
 NEIGHBOURS = 15
+#: Texts whose vectors are held at once, however short they are.
+BLOCK = 256
 #: The bound of the labelled sample: so many rows of each class.
 PER_CLASS = 2000
 
@@ -89,18 +91,15 @@ class Neighbours:
     def vote(self, texts: list[str]) -> np.ndarray:
         """Exact cosine products with every labelled vector, block by block; nearest ones vote."""
         out = np.full(len(texts), self.prior)
-        if not len(self.y):
-            return out
-        found = counts(texts)
-        v = self._unit(shares(found) * self.idf)
         k = min(NEIGHBOURS, len(self.y))
-        for a in range(0, len(texts), 256):
-            sims = v[a : a + 256] @ self.vectors.T
+        for a in range(0, len(texts) if k else 0, BLOCK):
+            found = counts(texts[a : a + BLOCK])
+            sims = self._unit(shares(found) * self.idf) @ self.vectors.T
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
             total = w.sum(1)
-            out[a : a + 256] = np.where(total > 0, (w * self.y[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
-        out[found.sum(1) == 0] = self.prior
+            voted = np.where(total > 0, (w * self.y[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
+            out[a : a + BLOCK] = np.where(found.sum(1) == 0, self.prior, voted)
         return np.clip(out, 0, 1)
 
 
