@@ -32,7 +32,7 @@ CLOSING_ID = 1
 #: What is left of a document after its full sequences is cut at a multiple of this, so that gaps can be filled.
 GRAIN = 256
 #: Entries that a worker's word cache holds before it starts anew; this bounds memory, not the work.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
