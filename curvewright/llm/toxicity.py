@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Learn from a bounded sample; bags are made on the executors, where the texts are."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in in_batches(frames):
+        for part in in_batches(frames, 1 << 18):
             yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "bag": [packed(b) for b in bags(part["text"].tolist())]})
 
     rows = training_rows(docs, labels, label, per_class)
