@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import durable, in_batches, texts_of
+from .common import durable, in_batches, texts_of, worker_task
 from .textvec import distinct_shingles
 
 THRESHOLD = 0.8
@@ -88,6 +88,14 @@ def _by_group(frames: Iterator[pd.DataFrame], kernel: Callable[[pd.DataFrame], l
         yield pd.DataFrame(rows, columns=columns)
 
 
+def _grouped(kernel: Callable[[pd.DataFrame], list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with worker_task():
+            yield from _by_group(frames, kernel, columns)
+
+    return run
+
+
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Least member index of each of n members' components."""
     root = np.arange(n)
@@ -174,9 +182,10 @@ def in_block_pairs(rows: DataFrame, group: str, size: str, block: int = BLOCK) -
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in in_batches(frames):
-            sets = distinct_shingles(part["text"].tolist())
-            yield pd.DataFrame({"doc_id": part["doc_id"], "set_key": [hashlib.md5(s.tobytes()).digest() for s in sets], "sig": [signature(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
+        with worker_task():
+            for part in in_batches(frames):
+                sets = distinct_shingles(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "set_key": [hashlib.md5(s.tobytes()).digest() for s in sets], "sig": [signature(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
 
     return docs.mapInPandas(run, "doc_id bigint, set_key binary, sig binary, n int")
 
@@ -208,7 +217,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     candidates = in_block_pairs(hits.join(live.select("rep", "sig"), "rep"), "key", "m")
     needed = needed_matches(threshold, tolerance)
     dealt = candidates.select("g", "i", "j", "blk", "rep", "sig").repartition(parts, "g").sortWithinPartitions("g")
-    edges = dealt.mapInPandas(lambda frames: _by_group(frames, lambda p: prune(p, needed), ["src", "dst"]), "src bigint, dst bigint")
+    edges = dealt.mapInPandas(_grouped(lambda p: prune(p, needed), ["src", "dst"]), "src bigint, dst bigint")
     groups = connected_components(edges, durable, local_edges=0).withColumnRenamed("node", "rep")
     groups = durable(groups.join(reps.select("rep", "copies"), "rep"))
 
@@ -218,7 +227,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     bounded = groups.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if bounded else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = members.join(_shingle_rows(texts), "rep").select("g", "i", "j", "blk", "rep", "copies", "shingles").repartition(parts, "g").sortWithinPartitions("g")
-    linked = durable(rows.mapInPandas(lambda frames: _by_group(frames, lambda p: verify(p, threshold), ["rep", "links", "low"]), "rep bigint, links bigint, low bigint"))
+    linked = durable(rows.mapInPandas(_grouped(lambda p: verify(p, threshold), ["rep", "links", "low"]), "rep bigint, links bigint, low bigint"))
 
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(linked.select(F.col("rep").alias("src"), F.col("low").alias("dst")), durable, local_edges=0).withColumnRenamed("node", "rep")

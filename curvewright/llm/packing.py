@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches, texts_of
+from .common import durable, in_batches, texts_of, worker_task
 
 CAPACITY = 2048
 #: The last id of each document.
@@ -154,6 +154,11 @@ def encode_texts(texts: list[str], path: str, closing: int | None = CLOSING_ID)
     return out
 
 
+def _forget() -> None:
+    _words.clear()
+    _tokenizer.cache_clear()
+
+
 def cut(total: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
     """Lengths of the pieces of a document of ``total`` ids, in order: full sequences, whole grains, the rest."""
     full, rest = divmod(total, capacity)
@@ -165,15 +170,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. One pass, no shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in in_batches(frames):
-            rows = []
-            for doc_id, ids in zip(part["doc_id"], encode_texts(part["text"].tolist(), tokenizer_path), strict=True):
-                start, total = 0, len(ids) // 4
-                view = memoryview(ids)
-                for length in cut(total, capacity, grain):
-                    rows.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total))
-                    start += length
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        with worker_task(_forget):
+            for part in in_batches(frames):
+                rows = []
+                for doc_id, ids in zip(part["doc_id"], encode_texts(part["text"].tolist(), tokenizer_path), strict=True):
+                    start, total = 0, len(ids) // 4
+                    view = memoryview(ids)
+                    for length in cut(total, capacity, grain):
+                        rows.append((doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total))
+                        start += length
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

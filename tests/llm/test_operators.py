@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvewright.llm import fingerprints, html_extract, media, near_join, packing, pii, quality, sentencepieces, textvec, token_counts, toxicity
+from curvewright.llm import common, fingerprints, html_extract, media, near_join, packing, pii, quality, sentencepieces, textvec, token_counts, toxicity
 from curvewright.llm.queries import tokenizer_path
 
 from .conftest import prose
@@ -278,3 +278,24 @@ def test_pipeline_stages(spark, labelled, tmp_path):
     left = [r.doc_id for r in current.select("doc_id").collect()]
     assert np.mean([truth[i] == (0, 1) for i in left]) > 0.97
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left)
+
+
+def test_worker_task_releases_caches_of_other_operators():
+    seen = []
+    with common.worker_task(release := lambda: seen.append("gone")):
+        pass
+    with common.worker_task(release):
+        assert not seen
+    with common.worker_task():
+        assert seen == ["gone"]
+    with common.worker_task():
+        assert seen == ["gone"]
+
+
+def test_batches_are_bounded_by_bytes(spark, odd_docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, expected in (("64m", str(common.BATCH_BYTES)), ("100k", "100k"), ("1048576b", "1048576b")):
+        spark.conf.set(key, given)
+        common.texts_of(odd_docs)
+        assert spark.conf.get(key) == expected
+    spark.conf.unset(key)
