@@ -64,6 +64,38 @@ def cloud_d5(spark: SparkSession, d: str) -> DataFrame:
     return clouds.as_cloud(o.selectExpr("o_orderkey id", f"round((5 + cos{v}) * cos{u}, 6) + 0.0 x", f"round((5 + cos{v}) * sin{u}, 6) + 0.0 y", f"round(sin{v}, 6) + 0.0 z"))
 
 
+# The same shapes over whole tables: one Y, loop or torus for each block of keys, and the chains of all users. The
+# clouds above belong to the SQL below, which has no column for the cloud; the whole ones have no SQL.
+
+
+def whole_d2(spark: SparkSession, d: str) -> DataFrame:
+    """A Y junction for every 19 customers."""
+    k = "(c_custkey % 19)"
+    c = _read(spark, d, "customer").selectExpr("c_custkey div 19 block", "c_custkey id", *[f"{_D2.format(k=k, f=f)} {n}" for f, n in (("cos", "x"), ("sin", "y"))], "cast(0 as double) z")
+    return clouds.as_cloud(c, cloud="block")
+
+
+def whole_d3(spark: SparkSession, d: str) -> DataFrame:
+    """A tilted loop for every 40 customers; an arc for what is left."""
+    a = "(2 * pi() * (c_custkey % 40) / 40)"
+    c = _read(spark, d, "customer").selectExpr("c_custkey div 40 block", "c_custkey id", f"round(4 * cos{a}, 6) + 0.0 x", f"round(4 * sin{a}, 6) + 0.0 y", f"round(1.2 * sin{a}, 6) + 0.0 z")
+    return clouds.as_cloud(c, cloud="block")
+
+
+def whole_d4(spark: SparkSession, d: str) -> DataFrame:
+    """One open chain for each user, all in one cloud."""
+    x = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = _read(spark, d, "events").select("event_id", x.alias("x"), (F.col("user_id") * 10.0).alias("y"), (F.round(F.col("value") * 0.001, 6) + 0.0).alias("z"))
+    return clouds.as_cloud(e, "event_id")
+
+
+def whole_d5(spark: SparkSession, d: str) -> DataFrame:
+    """A torus for every 384 orders; a part of one for what is left."""
+    u, v = "(2 * pi() * floor(o_orderkey % 384 / 12) / 32)", "(2 * pi() * (o_orderkey % 12) / 12)"
+    o = _read(spark, d, "orders").selectExpr("o_orderkey div 384 block", "o_orderkey id", f"round((5 + cos{v}) * cos{u}, 6) + 0.0 x", f"round((5 + cos{v}) * sin{u}, 6) + 0.0 y", f"round(sin{v}, 6) + 0.0 z")
+    return clouds.as_cloud(o, cloud="block")
+
+
 _CLOUD_SQL = {
     "d1": "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings",
     "d2": f"SELECT c_custkey AS id, {_D2.format(k='c_custkey', f='cos')} AS x, {_D2.format(k='c_custkey', f='sin')} AS y, 0.0::DOUBLE AS z FROM customer WHERE c_custkey < 19",
@@ -311,13 +343,13 @@ def _moments(s, d):
 
 @_query("anchor_weights")
 def _anchor(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle(whole_d5(s, d))
     return reduce.anchor_weights(p, neighbors.radius_edges(p, 2.5), 8.0).select("id", *_r6("anchor"))
 
 
 @_query("local_dim")
 def _local(s, d):
-    return reduce.local_shape(cloud_d5(s, d)).select("id", *_r6("r2", "r3"))
+    return reduce.local_shape(whole_d5(s, d)).select("id", *_r6("r2", "r3"))
 
 
 @_query("auto_vote", "SELECT 1.0::DOUBLE AS sheet_fraction, 'collapse' AS chosen")
@@ -343,20 +375,20 @@ def _collapsed_edges(s, d):
 
 @_query("contract")
 def _contract(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle(whole_d5(s, d))
     return reduce.contract_points(p, settle(neighbors.radius_edges(p, 2.5)), ReduceConfig()).select("id", *_r6(*AXES))
 
 
 @_query("contraction_frames")
 def _frames(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle(whole_d5(s, d))
     frames = reduce.contraction_frames(p, settle(neighbors.radius_edges(p, 2.5)), ReduceConfig())
     return frames.where(F.col("frame").isin(pipeline.frame_numbers(10, 12))).select("frame", "id", *_r6(*AXES))
 
 
 @_query("collapse")
 def _collapse(s, d):
-    return reduce.collapse(cloud_d5(s, d), ReduceConfig(mode="collapse"))[0].select("id", *_r6(*AXES))
+    return reduce.collapse(whole_d5(s, d), ReduceConfig(mode="collapse"))[0].select("cloud", "id", *_r6(*AXES))
 
 
 # ---- pipeline ------------------------------------------------------------------------------------------------------
@@ -404,6 +436,64 @@ def _associate(s, d):
     return pipeline.associate(p, pipeline.extract(p)).select("id", *_r6("d_perp"))
 
 
+# ---- whole tables --------------------------------------------------------------------------------------------------
+
+for _name, _cloud in (("d2", whole_d2), ("d3", whole_d3), ("d4", whole_d4), ("d5", whole_d5)):
+    _query(f"pitch_{_name}_all")(lambda s, d, c=_cloud: neighbors.pitch(c(s, d)).select("cloud", *_r6("pitch")))
+for _name, _cloud in (("d2", whole_d2), ("d3", whole_d3)):
+    _query(f"extract_none_{_name}_all")(lambda s, d, c=_cloud: pipeline.extract(c(s, d)).summary())
+
+
+@_query("mst_weight_all")
+def _mst_weight_all(s, d):
+    return neighbors.mst_edges(whole_d3(s, d)).groupBy("cloud").agg(F.count("*").alias("n_edges"), F.sum("w").alias("weight")).select("cloud", "n_edges", *_r6("weight"))
+
+
+@_query("rng_prune_d5_all")
+def _prune5_all(s, d):
+    return neighbors.prune_shortcuts(settle(neighbors.radius_edges(whole_d5(s, d), 2.5))).select("cloud", "src", "dst", *_r6("w"))
+
+
+@_query("segments_loop_all")
+def _loops_all(s, d):
+    segs = topology.segments(*_edges(s, d, whole_d3)).where("closed and end_node_a is null")
+    return segs.select("cloud", "seg_id", F.array_join(F.col("points").cast("array<string>"), ",").alias("points"), "n_points")
+
+
+@_query("auto_vote_all")
+def _vote_all(s, d):
+    return reduce.auto_vote(whole_d5(s, d), ReduceConfig()).select("cloud", *_r6("sheet_fraction"), "chosen")
+
+
+@_query("extract_none_all")
+def _extract_none_all(s, d):
+    """One open chain for each user with two events or more."""
+    found = pipeline.extract(whole_d4(s, d))
+    return found.segments.agg(F.count_if((F.col("n_points") > 1) & ~F.col("closed") & (F.col("n_branch_ends") == 0)).alias("chains"), F.count_if(F.col("n_points") == 1).alias("isolated"))
+
+
+@_query("extract_surface_all")
+def _surface_all(s, d):
+    found = pipeline.extract(whole_d5(s, d), build_config({"reduce.mode": "surface"}))
+    return found.degree.groupBy("cloud").agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).cast("long").alias("edges"), F.count_if(F.col("degree") >= 3).alias("branch_points"))
+
+
+@_query("extract_collapse_all")
+def _extract_collapse_all(s, d):
+    return pipeline.extract(whole_d5(s, d), build_config({"reduce.mode": "collapse"})).summary().select("cloud", "branch_points", "closed_loops")
+
+
+@_query("trace_json_all")
+def _json_all(s, d):
+    return pipeline.rounded_points(whole_d2(s, d)).select("cloud", "id", F.concat(F.lit("["), F.array_join(F.col("point").cast("array<string>"), ","), F.lit("]")).alias("json"))
+
+
+@_query("associate_all")
+def _associate_all(s, d):
+    p = settle(whole_d2(s, d))
+    return pipeline.associate(p, pipeline.extract(p)).select("cloud", "id", *_r6("d_perp"))
+
+
 # ---- generators ----------------------------------------------------------------------------------------------------
 
 
@@ -485,5 +575,5 @@ def _tree(s, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Where the junctions are: branch points of the Y cloud after the whole extraction."""
-    return pipeline.extract(cloud_d2(spark, d), Config()).branch_points
+    """Where the junctions are: branch points of all customers' Y clouds after the whole extraction."""
+    return pipeline.extract(whole_d2(spark, d), Config()).branch_points
