@@ -1,11 +1,14 @@
-"""HTML extraction by template deduction over equivalence classes of same-host pages.
+"""HTML extraction by rules on tags and class names, less the constant blocks of same-host pages.
+
+Which blocks are main text is decided by tag and class-name rules (``SKIP``, ``_NOISE``, article and main elements).
+Equivalence classes of page tokens only remove further constant text blocks from it; they are not nested, their order
+and containment are not compared, and no slot is derived from them.
 
 Tokens are element paths and short text blocks at their path. A token's occurrence vector says how often it stands
 on each page of its host; tokens with equal vectors form an equivalence class. Vectors are never gathered: two
 32-bit hashes of (page, count), summed per token, stand for them. A class is valid when it covers every page of a
-host with enough pages and holds an element path; nested by their paths, valid classes are the host's template, and
-their text blocks are boilerplate. What is left are slots; those in the article, outside menus, notices, forms and
-the like, are the main text.
+host with enough pages and holds an element path; the text blocks of a host's valid classes are boilerplate. The other
+blocks of the article, outside menus, notices, forms and the like, are the main text.
 
 Defined results: null and empty html give an empty text; repeated rows count as pages and give repeated rows; a page
 without article or main element uses its body; an empty table gives no row; extra columns are ignored.
@@ -185,14 +188,14 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     tokens = durable(_token_rows(pages).groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where(F.col("pages") >= least_pages))
     hosts = tokens.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all_pages"))
     full = tokens.join(hosts, "host").where(F.col("pages") == F.col("all_pages"))
-    # An equivalence class: equal occurrence vectors. It is valid when it nests among element paths, i.e. holds some.
+    # An equivalence class: equal occurrence vectors. It is valid when it holds an element path.
     classes = full.groupBy("host", "s1", "s2").agg(F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.count_if(~F.col("is_text")).alias("paths"))
     valid = classes.where((F.col("paths") > 0) & (F.size("texts") > 0))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """Slots of the article in page order, one line each."""
+    """Blocks of the article in page order, one line each."""
     blocks, _, has_article = parse(html)
     return "\n".join(b.text for b in blocks if not b.noise and (b.article or not has_article) and not (template and len(b.text) <= TEMPLATE_CHARS and text_token(b) in template))
 
