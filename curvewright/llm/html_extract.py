@@ -6,11 +6,13 @@ and containment are not compared, and no slot is derived from them.
 
 Tokens are element paths and short text blocks at their path. A token's occurrence vector says how often it stands
 on each page of its host; tokens with equal vectors form an equivalence class. Vectors are never gathered: two
-32-bit hashes of (page, count), summed per token, stand for them. A class is valid when it covers every page of a
-host with enough pages and holds an element path; the text blocks of a host's valid classes are boilerplate. The other
+32-bit hashes of (page, count), summed per token, stand for them. Pages are counted once for each different html, and
+empty ones not at all. A class is valid when it covers most pages of a host with two or more and holds an element
+path; the text blocks of a host's valid classes are boilerplate. The other
 blocks of the article, outside menus, notices, forms and the like, are the main text.
 
-Defined results: null and empty html give an empty text; repeated rows count as pages and give repeated rows; a page
+Defined results: null and empty html give an empty text; repeated rows give repeated rows and count as one page; a
+page whose article is nearly all template, as among near copies of one article, keeps its article whole; a page
 without article or main element uses its body; an empty table gives no row; extra columns are ignored.
 """
 
@@ -29,8 +31,12 @@ from pyspark.sql import functions as F
 from .common import durable, in_batches
 from .textvec import mix
 
-#: A host needs so many pages before repeated text counts as template.
-LEAST_PAGES = 10
+#: A host needs so many different pages before repeated text counts as template: one page cannot tell.
+LEAST_PAGES = 2
+#: A class stands on so large a share of its host's different pages; the rest may be error pages and the like.
+SHARE = 0.8
+#: When more than this share of an article's characters would be template, the pages are copies of it.
+MOST_TEMPLATE = 0.8
 #: Longer blocks are data and need no counting.
 TEMPLATE_CHARS = 300
 _FLUSH = 100_000
@@ -135,9 +141,9 @@ def text_token(block: Block) -> int:
     return _code(f"{block.path}\0{block.text}")
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
-    return m.group(1).rsplit("@", 1)[-1].lower() if m else ""
+def _with_host(pages: DataFrame) -> DataFrame:
+    host = F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]*)", 1)
+    return pages.withColumn("host", F.lower(host))
 
 
 #: The token that stands for a page itself.
@@ -156,8 +162,8 @@ def _token_rows(pages: DataFrame) -> DataFrame:
             return frame
 
         for part in in_batches(frames, col="html"):
-            for page_id, url, html in zip(part["page_id"], part["url"], part["html"], strict=True):
-                host, counts = _host(url), {(PAGE, False): 1}
+            for host, digest, html in zip(part["host"], part["digest"], part["html"], strict=True):
+                counts = {(PAGE, False): 1}
                 blocks, paths, _ = parse(html)
                 for p in paths:
                     key = (_code(p), False)
@@ -166,7 +172,7 @@ def _token_rows(pages: DataFrame) -> DataFrame:
                     if len(b.text) <= TEMPLATE_CHARS:
                         key = (text_token(b), True)
                         counts[key] = counts.get(key, 0) + 1
-                seed = np.uint64((int(page_id) if page_id == page_id and page_id is not None else -1) & (1 << 64) - 1)
+                seed = np.uint64(int(digest[:16], 16))
                 times = sorted(set(counts.values()))
                 hashes = mix(np.array(times, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([seed]))[0])
                 hashed = {n: (int(h) >> 33, int(h) & 0x7FFFFFFF) for n, h in zip(times, hashes, strict=True)}
@@ -180,14 +186,15 @@ def _token_rows(pages: DataFrame) -> DataFrame:
         if sums:
             yield out()
 
-    return pages.mapInPandas(run, "host string, token long, is_text boolean, pages long, s1 long, s2 long")
+    whole = _with_host(pages).where(F.trim("html") != "").select("host", "html", F.sha2("html", 256).alias("digest"))
+    return whole.dropDuplicates(["host", "digest"]).mapInPandas(run, "host string, token long, is_text boolean, pages long, s1 long, s2 long")
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and its template's text tokens. Each stands on every page of the host, so the list is as short as a page."""
+    """host and its template's text tokens. Each stands on most pages of the host, so the list is about as short as a page."""
     tokens = durable(_token_rows(pages).groupBy("host", "token", "is_text").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where(F.col("pages") >= least_pages))
     hosts = tokens.where(F.col("token") == PAGE).select("host", F.col("pages").alias("all_pages"))
-    full = tokens.join(hosts, "host").where(F.col("pages") == F.col("all_pages"))
+    full = tokens.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all_pages"))
     # An equivalence class: equal occurrence vectors. It is valid when it holds an element path.
     classes = full.groupBy("host", "s1", "s2").agg(F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.count_if(~F.col("is_text")).alias("paths"))
     valid = classes.where((F.col("paths") > 0) & (F.size("texts") > 0))
@@ -197,16 +204,20 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the article in page order, one line each."""
     blocks, _, has_article = parse(html)
-    return "\n".join(b.text for b in blocks if not b.noise and (b.article or not has_article) and not (template and len(b.text) <= TEMPLATE_CHARS and text_token(b) in template))
+    own = [b for b in blocks if not b.noise and (b.article or not has_article)]
+    left = [b for b in own if not (template and len(b.text) <= TEMPLATE_CHARS and text_token(b) in template)]
+    chars = sum(len(b.text) for b in own)
+    if chars - sum(len(b.text) for b in left) > MOST_TEMPLATE * chars:
+        left = own
+    return "\n".join(b.text for b in left)
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page, from the whole html."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     found = durable(templates(rows, least_pages))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"\A(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]*)", 1))
     # The template table's size is known from its files: Spark broadcasts it when small and splits hot hosts when not.
-    joined = rows.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "template")
+    joined = _with_host(rows).join(found, "host", "left").select("page_id", "url", "html", "template")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_batches(frames, col="html"):

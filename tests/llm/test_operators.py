@@ -98,6 +98,27 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def html_page(i, notice="By the staff"):
+    return f"<html><body><article><h1>Head {i}</h1><p>{prose(12, i)}</p><p>{notice}</p></article></body></html>"
+
+
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_templates_bear_odd_pages_small_hosts_and_copies(spark):
+    rows = [(i, "https://a.org/", html_page(i)) for i in range(12)] + [(12, "https://a.org/", None), (13, "https://a.org/", " "), (14, "https://a.org/", "<body><p>Not found")]
+    rows += [(20 + i, "https://b.org/", html_page(i)) for i in range(4)]
+    rows += [(40 + i, "https://c.org/", html_page(0)) for i in range(12)]
+    rows += [(60 + i, "https://d.org/", html_page(0).replace("Head 0", f"Head {i}")) for i in range(12)]
+    got = html_texts(spark, rows)
+    for i in [*range(12), *range(20, 24)]:
+        assert "staff" not in got[i] and prose(12, i % 20) in got[i]
+    assert got[14] == "Not found"
+    for i in [*range(40, 52), *range(60, 72)]:
+        assert prose(12, 0) in got[i]
+
+
 def brute_shingles(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
