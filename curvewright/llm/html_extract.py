@@ -4,7 +4,7 @@ Which blocks are main text is decided by tag and class-name rules (``SKIP``, ``_
 Equivalence classes of page tokens only remove further constant text blocks from it; they are not nested, their order
 and containment are not compared, and no slot is derived from them.
 
-Tokens are element paths and short text blocks at their path. A token's occurrence vector says how often it stands
+Tokens are element paths and text blocks at their path. A token's occurrence vector says how often it stands
 on each page of its host; tokens with equal vectors form an equivalence class. Vectors are never gathered: two
 32-bit hashes of (page, count), summed per token, stand for them. Pages are counted once for each different html, and
 empty ones not at all. A class is valid when it covers most pages of a host with two or more and holds an element
@@ -37,8 +37,6 @@ LEAST_PAGES = 2
 SHARE = 0.8
 #: When more than this share of an article's characters would be template, the pages are copies of it.
 MOST_TEMPLATE = 0.8
-#: Longer blocks are data and need no counting.
-TEMPLATE_CHARS = 300
 _FLUSH = 100_000
 
 _TOKENS = re.compile(
@@ -169,9 +167,8 @@ def _token_rows(pages: DataFrame) -> DataFrame:
                     key = (_code(p), False)
                     counts[key] = counts.get(key, 0) + 1
                 for b in blocks:
-                    if len(b.text) <= TEMPLATE_CHARS:
-                        key = (text_token(b), True)
-                        counts[key] = counts.get(key, 0) + 1
+                    key = (text_token(b), True)
+                    counts[key] = counts.get(key, 0) + 1
                 seed = np.uint64(int(digest[:16], 16))
                 times = sorted(set(counts.values()))
                 hashes = mix(np.array(times, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([seed]))[0])
@@ -205,7 +202,7 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     """Blocks of the article in page order, one line each."""
     blocks, _, has_article = parse(html)
     own = [b for b in blocks if not b.noise and (b.article or not has_article)]
-    left = [b for b in own if not (template and len(b.text) <= TEMPLATE_CHARS and text_token(b) in template)]
+    left = [b for b in own if not (template and text_token(b) in template)]
     chars = sum(len(b.text) for b in own)
     if chars - sum(len(b.text) for b in left) > MOST_TEMPLATE * chars:
         left = own

@@ -119,6 +119,13 @@ def test_html_templates_bear_odd_pages_small_hosts_and_copies(spark):
         assert prose(12, 0) in got[i]
 
 
+def test_html_long_notices_are_template(spark):
+    notice = "Terms of use. " * 40
+    rows = [(i, "https://a.org/", html_page(i, notice).replace(prose(12, i), prose(300, i))) for i in range(12)]
+    got = html_texts(spark, rows)
+    assert all("Terms" not in got[i] and prose(300, i) in got[i] for i in range(12))
+
+
 def brute_shingles(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
