@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so sketches of any two texts
-merge by union, and containment or likeness is estimated from the kept hashes alone, however unequal the texts.
-The least hash is kept beside them, for texts so short that nothing falls below the threshold.
+merge by union, and containment or likeness follows from the kept hashes alone, however unequal the texts. The
+fraction is the whole range: likeness is the exact Jaccard likeness but for collisions of 48-bit hashes. The least hash
+is kept beside them; it decides between texts without kept hashes.
 
 Defined results: a null text counts as empty and has the fingerprint ``-:``; texts without words are alike (1.0);
 repeated rows are documents of their own, ordered by hash of the text among equal ids; with a single row the next
@@ -22,18 +23,18 @@ from pyspark.sql import functions as F
 from .common import texts_of
 from .textvec import shingle_hashes
 
-#: One in so many hashes is kept.
-SCALE = 8
-_LIMIT = np.uint64((1 << 64) // SCALE)
-#: Kept hashes are below 2**61; their upper 48 bits are written.
-_DROP = np.uint64(13)
+#: One in so many hashes is kept: every one, as short texts have too few shingles to leave any out.
+SCALE = 1
+_LIMIT = np.uint64((1 << 64) // SCALE - 1)
+#: The upper 48 bits of the hash range are written.
+_DROP = np.uint64(16 - (SCALE - 1).bit_length())
 _NONE = "-"
 
 
 def sketches(texts: list[str]) -> list[str]:
     """``<least hash>:<kept hashes>`` in hexadecimal, 12 digits each, ascending."""
     hashes, bounds = shingle_hashes(texts)
-    low = hashes < _LIMIT
+    low = hashes <= _LIMIT
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[low]
     kept = hashes[low] >> _DROP
     order = np.lexsort((kept, owner))
@@ -62,7 +63,7 @@ def merge(a: str, b: str) -> str:
 
 
 def containment(a: str, b: str) -> float:
-    """Estimated share of a's shingles that b has too."""
+    """Share of a's shingles that b has too."""
     left, right = kept_hashes(a), kept_hashes(b)
     if not left:
         return likeness(a, b)
@@ -70,7 +71,7 @@ def containment(a: str, b: str) -> float:
 
 
 def likeness(a: str, b: str) -> float:
-    """Estimated Jaccard likeness. Where neither sketch kept a hash, equal least hashes decide."""
+    """Jaccard likeness. Where neither sketch kept a hash, equal least hashes decide."""
     if a == b:
         return 1.0
     left, right = kept_hashes(a), kept_hashes(b)

@@ -157,6 +157,14 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert fingerprints.containment(a, b) == 1.0 and fingerprints.kept_hashes(fingerprints.merge(a, b)) == fingerprints.kept_hashes(b)
 
 
+@pytest.mark.parametrize("words", [6, 20, 50, 100, 500])
+def test_likeness_is_exact_at_every_length(words):
+    for seed in range(20):
+        a, b = prose(words, seed), prose(words, seed).rsplit(" ", words // 4)[0] + " " + prose(words // 4, seed + 500)
+        left, right = brute_shingles(a), brute_shingles(b)
+        assert fingerprints.likeness(*fingerprints.sketches([a, b])) == pytest.approx(len(left & right) / len(left | right), abs=1e-9)
+
+
 def test_media(odd_docs, no_docs):
     import gzip
 
