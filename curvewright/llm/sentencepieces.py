@@ -51,7 +51,7 @@ class PieceModel:
             raise ValueError("only models that put one space mark in front and change nothing else are handled")
         self.cuts_at_space = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank)
         self.cache: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        self.back: dict[str, str] = {}
         self.part_ids: dict[str, list[int]] = {}
 
     def merge(self, segment: str) -> list[int]:
@@ -167,12 +167,14 @@ class PieceModel:
                         known[part] = found
                 ids += found
             made.append(ids)
-        for word, ids, right in zip(missing, made, self.library.encode(missing, num_threads=1), strict=True):
+        shown = self.library.decode(made, num_threads=1) if made else []
+        for word, ids, right, text in zip(missing, made, self.library.encode(missing, num_threads=1), shown, strict=True):
             if word and ids != right:
                 raise ValueError(f"the agenda and the library disagree on {word!r}: {ids} and {right}")
-            self.cache[word] = ",".join(map(str, ids))
-            if (back := self.decode(ids)) != " " + word:
-                self.odd[word] = back
+            back = self.decode(ids)
+            if word and back[1:] != text:
+                raise ValueError(f"the decoded ids of {word!r} are {back[1:]!r}, to the library {text!r}")
+            self.cache[word], self.back[word] = ",".join(map(str, ids)), back
 
     def encode(self, text: str) -> tuple[str, str]:
         """(decimal ids joined by commas, decoded text)."""
@@ -184,17 +186,15 @@ class PieceModel:
         if missing:
             if len(cache) + len(missing) > CACHE_SEGMENTS:
                 cache.clear()
-                self.odd.clear()
+                self.back.clear()
                 missing = set(cuts)
             self.fill(list(missing))
         ids = ",".join(map(cache.__getitem__, cuts))
-        back = text
-        if self.odd and not self.odd.keys().isdisjoint(cuts):
-            back = "".join([self.odd.get(w) or f" {w}" for w in cuts])[1:]
+        back = "".join(map(self.back.__getitem__, cuts))[1:]
         for word in missing:
             if len(word) > KEEP_CHARS:
                 cache.pop(word, None)
-                self.odd.pop(word, None)
+                self.back.pop(word, None)
         return ids, back
 
 

@@ -81,6 +81,18 @@ def test_sentencepiece_documents(odd_docs, no_docs):
     assert sentencepieces.encode_documents(no_docs, path).count() == 0
 
 
+def test_sentencepiece_text_comes_from_the_ids():
+    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    shown = pieces.decode
+    pieces.decode = lambda ids: shown(ids).upper()
+    with pytest.raises(ValueError, match="decoded ids"):
+        pieces.encode("a word")
+    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    pieces.encode("alpha beta")
+    pieces.back["alpha"] = " other"
+    assert pieces.encode("alpha beta")[1] == "other beta"
+
+
 def plain_text(blocks):
     return "\n".join(blocks)
 
