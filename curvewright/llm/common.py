@@ -99,11 +99,14 @@ def in_batches(frames: Iterator[pd.DataFrame], chars: int = 1 << 20, col: str =
             yield frame.iloc[start:]
 
 
-def per_text(docs: DataFrame, kernel: Callable[[list[str]], pd.DataFrame], schema: str, id_type: str = "bigint") -> DataFrame:
-    """``kernel`` over whole texts in bounded batches: one output row per document, ``doc_id`` first."""
+def per_text(docs: DataFrame, kernel: Callable[[list[str]], pd.DataFrame], schema: str, id_type: str = "bigint", release: Callable[[], None] | None = None) -> DataFrame:
+    """``kernel`` over whole texts in bounded batches: one output row per document, ``doc_id`` first.
+
+    ``release`` empties the kernel's caches when a task of another operator begins in the same worker.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with worker_task():
+        with worker_task(release):
             for part in in_batches(frames):
                 made = kernel(part["text"].tolist())
                 made.insert(0, "doc_id", part["doc_id"].to_numpy())

@@ -170,4 +170,4 @@ def count_edited(docs: DataFrame, path: str, pattern: str, edit: Callable[[str],
         return pd.DataFrame(rows, columns=["n_tokens", "edited_tokens", "pre_tokens", "recounted"])
 
     docs = texts_of(docs)
-    return per_text(docs, kernel, "n_tokens long, edited_tokens long, pre_tokens long, recounted long", docs.schema["doc_id"].dataType.simpleString())
+    return per_text(docs, kernel, "n_tokens long, edited_tokens long, pre_tokens long, recounted long", docs.schema["doc_id"].dataType.simpleString(), release=_counts.clear)
