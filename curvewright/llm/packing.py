@@ -11,9 +11,11 @@ input columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -97,7 +99,42 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The normaliser and pre-tokenizer (fixed values) under which a text's ids are those of its words in turn.
+WORD_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+}
+
+
+@lru_cache(maxsize=2)
+def _goes_by_words(path: str) -> bool:
+    """True if the file says that white space is dropped and crossed by no pre-token, and case does not matter."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normaliser, cutter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    steps = cutter.get("pretokenizers") or [{}]
+    return (
+        normaliser.get("normalizers") == WORD_NORMALISER
+        and steps[0] == WORD_SPLIT
+        and [{k: v for k, v in step.items() if k != "trim_offsets"} for step in steps[1:]] == [bytes_only]
+        and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in spec.get("added_tokens") or [])
+        and not (spec.get("truncation") or spec.get("padding") or (spec.get("model") or {}).get("dropout"))
+    )
+
+
 _PLAIN = re.compile("[a-z]+").fullmatch
+#: A capital sigma is lowered by its place; a mark may compose with the small letter but not with the capital one.
+_CASE_MATTERS = re.compile("[Σİ\u0300-\u036f]|<[|]").search
+
+
+def _ends_in_letter(stem: str) -> bool:
+    """Whether the normalised stem ends in a letter: some letters are normalised to a letter and a mark."""
+    last = stem[-1]
+    return last.isalpha() and (last < "\x80" or unicodedata.normalize("NFC", last.lower())[-1].isalpha())
+
+
 _words: dict[str, dict[str, bytes]] = {}
 
 
@@ -111,7 +148,7 @@ def _fill(path: str, missing: list[str], cache: dict[str, bytes]) -> None:
     need: dict[str, None] = {}
     for word in missing:
         stem = word.rstrip(",.")
-        if stem and len(stem) < len(word) and stem[-1].isalpha():
+        if stem and len(stem) < len(word) and _ends_in_letter(stem):
             stems[word] = stem, word[len(stem) :]
             need.update((part, None) for part in stems[word] if part not in cache)
         else:
@@ -135,12 +172,16 @@ def encode_texts(texts: list[str], path: str, closing: int | None = CLOSING_ID)
 
     The tokenizer drops white space and no pre-token crosses it, so a text's ids are those of its words in turn.
     Lowering first only merges cache entries; texts where it could matter (a final sigma, special tokens) skip it.
+    Tokenizers of other kinds encode each text whole.
     """
+    if not _goes_by_words(path):
+        found = _tokenizer(path).encode_batch(texts, add_special_tokens=False)
+        return [np.array([*e.ids, *([] if closing is None else [closing])], dtype="<u4").tobytes() for e in found]
     cache = _words.setdefault(path, {"": b""})
     end = b"" if closing is None else np.array([closing], dtype="<u4").tobytes()
     out = []
     for text in texts:
-        if "Σ" not in text and "<|" not in text:
+        if not _CASE_MATTERS(text):
             text = text.lower()
         words = text.replace("\n", " ").split(" ")
         missing = set(words).difference(cache)
