@@ -5,21 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once as a table in the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
-    A written table keeps size statistics (so that later joins can be planned by size) and column access. The folder
-    is the one in spark.checkpoint.dir; one of our own only where none is configured (tests).
+    Only a local master, which has one machine, gets a folder of its own where none is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="curvewright-")
         context.setCheckpointDir(folder)
-    path = f"{folder}/curvewright-{uuid.uuid4().hex}"
+    return f"{folder}/curvewright-{context.applicationId}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df once as a table in the shared folder and read it back.
+
+    A written table keeps size statistics (so that later joins can be planned by size) and column access, which a
+    checkpointed RDD does not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application settled; results that still read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

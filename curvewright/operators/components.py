@@ -2,63 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
-#: Up to so many edges in all, counted first, one task finds the components; beyond it the rounds below do.
-LOCAL_EDGES = 50_000
+#: Edges, counted in each round, up to which a round's table of least neighbours is broadcast: it has at most two
+#: rows of some 40 bytes for each edge.
+BROADCAST_EDGES = 500_000
 
 
-def _local(keys: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if not parts:
-            return
-        for key, part in pd.concat(parts).groupby(keys or (lambda _: 0)):
-            nodes, at = np.unique(part[["src", "dst"]].to_numpy().T.ravel(), return_inverse=True)
-            a, b = at.reshape(2, -1)
-            root = np.arange(len(nodes))
-            while True:
-                low = np.minimum(root[a], root[b])
-                new = root.copy()
-                np.minimum.at(new, root[a], low)
-                np.minimum.at(new, root[b], low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            out = pd.DataFrame({"node": nodes, "root": nodes[root]})
-            for name, value in zip(keys, key if isinstance(key, tuple) else (key,), strict=False):
-                out.insert(0, name, value)
-            yield out[[*keys, "node", "root"]]
-
-    return run
-
-
-def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = (), local_edges: int = LOCAL_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys..., node, root) for every node of the edges (keys..., src, dst); root is the least node of its component.
 
-    Each round is two aggregations by node (with map-side combine) and joins that adaptive execution may split, so a
-    node with very many edges is no single task. Rounds grow with the logarithm of the longest path. ``settle`` cuts
-    lineage: it must materialise its argument where all executors can read it.
+    Each round is two aggregations by node (with map-side combine) and two joins on it. The join's small side, a row
+    for each node, is broadcast when the edges were counted to be few; otherwise it is written first, so that both
+    sides are plain shuffles and adaptive execution splits a node with very many edges. Rounds grow with the
+    logarithm of the longest path. ``settle`` cuts lineage: it must materialise its argument where all executors can
+    read it.
     """
     keys = list(keys)
     both = [*keys, "src", "dst"]
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
         """pairs: src > dst. Connects each node's larger (or smaller) neighbours to the least of its neighbourhood."""
+        around = pairs.unionByName(pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else pairs
+        least = around.groupBy(*keys, "src").agg(F.min("dst").alias("_low"))
+        least = F.broadcast(least) if few else settle(least)
         if large:
-            around = pairs.unionByName(pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-            least = around.groupBy(*keys, "src").agg(F.min("dst").alias("_low"))
             least = least.select(*keys, "src", F.least("src", "_low").alias("_low"))
             moved = around.where("dst > src").join(least, [*keys, "src"]).select(*keys, F.col("dst").alias("src"), F.col("_low").alias("dst"))
         else:
-            least = pairs.groupBy(*keys, "src").agg(F.min("dst").alias("_low"))
             down = pairs.join(least, [*keys, "src"]).select(*keys, F.col("dst").alias("src"), F.col("_low").alias("dst"))
             moved = down.unionByName(least.select(*keys, "src", F.col("_low").alias("dst")))
         return moved.where("src <> dst").distinct()
@@ -69,13 +44,11 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
     seen = edges.select(*both).where("src is not null and dst is not null")
     current = settle(seen.where("src <> dst").select(*keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     last = mark(current)
-    if 0 < last[0] <= local_edges:
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in current.select(*keys).schema.fields)
-        return settle(current.coalesce(1).mapInPandas(_local(keys), f"{kinds}{', ' if keys else ''}node long, root long"))
     for _ in range(MAX_ROUNDS):
         if not last[0]:
             break
-        current = settle(star(star(current, True), False))
+        few = last[0] <= BROADCAST_EDGES
+        current = settle(star(star(current, True, few), False, few))
         now = mark(current)
         if now == last:
             break
