@@ -1,11 +1,9 @@
-"""Helpers that the corpus operators share: reading, durable lineage cuts, safe column names."""
+"""Helpers that the corpus operators share: reading, bounded batches of texts, tables that cut lineage."""
 
 from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle as durable
+
 
 #: Bytes of rows that travel to a Python worker at once (one longer row travels alone).
 BATCH_BYTES = 4 << 20
@@ -57,28 +57,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; one of our own only where none is configured (tests)."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="curvewright-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back: later stages survive lost executors.
-
-    A written table keeps its size statistics and can be read by column, which a checkpointed RDD cannot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curvewright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text``; a null text counts as the empty one. Other columns never travel."""
     bounded_batches(docs.sparkSession)

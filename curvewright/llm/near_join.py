@@ -1,14 +1,16 @@
 """N-gram Jaccard join: MinHash bands, Bayesian pruning of candidates, exact verification.
 
-Texts with equal shingle sets are one representative with a number of copies. Representatives that share a band
-of their MinHash signature are candidates; their signatures are compared a few values at a time, and a pair is
-dropped once the posterior probability that its similarity reaches the threshold falls below the tolerance. What
-is left is verified exactly on the shingle sets. Large buckets and classes are dealt as pairs of blocks, which
-return sums and local roots (a row per member), never pairs.
+Texts with equal shingle sets (told apart by a 128-bit hash of the set) are one representative with a number of
+copies. Representatives that share a band of their MinHash signature are candidates; their signatures are compared a
+few values at a time, and a pair is dropped once the posterior probability that its similarity reaches the threshold
+falls below the tolerance. What is left is verified exactly on the shingle sets. Large buckets and classes are dealt
+as pairs of blocks, which return sums and local roots (a row per member), never pairs.
 
 Defined results: null and empty texts and texts without words have the same (empty) shingle set and count as copies
 of each other; repeated rows are copies; a text of one to four words is one shingle; an empty table gives no row;
-extra columns are ignored.
+extra columns are ignored. Rows are classed by their texts, not their ids: a repeated doc_id with different texts
+stands in the class of each, and a null doc_id is classed like any other; a class whose rows all lack an id has a null
+class_id. Different classes have the same class_id only where a doc_id repeats.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -32,10 +34,8 @@ HASHES = BANDS * ROWS
 #: A candidate is dropped when it reaches the threshold with less than this posterior probability.
 TOLERANCE = 1e-6
 STEPS = (16, 32, 64, 128)
-#: Members that one side of a block pair holds at most (on average; blocks are dealt by hash).
-BLOCK = 512
-#: Ids up to this number are broadcast (8 bytes each); beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Members, and shingles of them, that one side of a block pair holds on average (blocks are dealt by hash).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,33 +65,35 @@ def needed_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -
     return out
 
 
-def _by_group(frames: Iterator[pd.DataFrame], kernel: Callable[[pd.DataFrame], list[tuple]], columns: list[str], key: str = "g") -> Iterator[pd.DataFrame]:
+def _by_group(frames: Iterator[pd.DataFrame], kernel: Callable[[pd.DataFrame], list[tuple]], columns: list[str], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Call the kernel on each run of equal keys of sorted batches; a run may go over a batch's end."""
     held: list[pd.DataFrame] = []
+    last: tuple | None = None
     for frame in frames:
-        keys = frame[key].to_numpy()
-        if not len(keys):
+        if not len(frame):
             continue
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        values = [frame[k].to_numpy() for k in keys]
+        fresh = np.logical_or.reduce([v[1:] != v[:-1] for v in values])
+        cuts = [0, *(np.flatnonzero(fresh) + 1), len(frame)]
         rows: list[tuple] = []
-        for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            part = frame.iloc[a:b]
-            if n == 0 and held and held[0][key].iloc[0] == keys[0]:
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part, key = frame.iloc[a:b], tuple(v[a] for v in values)
+            if held and key == last:
                 held.append(part)
-            else:
-                if held:
-                    rows += kernel(pd.concat(held) if len(held) > 1 else held[0])
-                held = [part]
+                continue
+            if held:
+                rows += kernel(pd.concat(held) if len(held) > 1 else held[0])
+            held, last = [part], key
         if rows:
             yield pd.DataFrame(rows, columns=columns)
     if held and (rows := kernel(pd.concat(held) if len(held) > 1 else held[0])):
         yield pd.DataFrame(rows, columns=columns)
 
 
-def _grouped(kernel: Callable[[pd.DataFrame], list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _grouped(kernel: Callable[[pd.DataFrame], list[tuple]], columns: list[str], group: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with worker_task():
-            yield from _by_group(frames, kernel, columns)
+            yield from _by_group(frames, kernel, columns, [group, "i", "j"])
 
     return run
 
@@ -153,7 +155,7 @@ def verify(part: pd.DataFrame, threshold: float) -> list[tuple]:
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     width = int(term.max()) + 1 if len(term) else 0
-    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    shared = np.zeros((len(sets), len(sets)))
     by_term = np.argsort(term, kind="stable")
     term, owner = term[by_term], owner[by_term]
     for a in range(0, width, 4096):
@@ -161,7 +163,7 @@ def verify(part: pd.DataFrame, threshold: float) -> list[tuple]:
         x = np.zeros((len(sets), min(4096, width - a)), dtype=np.float32)
         x[owner[lo:hi], term[lo:hi] - a] = 1
         shared += x @ x.T
-    linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-4
+    linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
     i, j = part["i"].iloc[0], part["j"].iloc[0]
     linked &= (block[:, None] == i) & (block[None, :] == j) | (block[:, None] == j) & (block[None, :] == i)
     np.fill_diagonal(linked, False)
@@ -171,73 +173,107 @@ def verify(part: pd.DataFrame, threshold: float) -> list[tuple]:
     return [(int(ids[k]), int(links[k]), int(ids[root[k]])) for k in np.flatnonzero(links)]
 
 
-def in_block_pairs(rows: DataFrame, group: str, size: str, block: int = BLOCK) -> DataFrame:
-    """Deal each group's members to pairs of hash blocks: adds blk, i, j and the pair's key g."""
-    rows = rows.withColumn("_nb", F.ceil(F.col(size) / block).cast("int"))
+def in_block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Deal each group's members to pairs of hash blocks: adds blk, i and j; (group, i, j) is one block pair."""
+    rows = rows.withColumn("_nb", blocks.cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("_nb")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    rows = rows.withColumn("i", F.least("blk", "_o")).withColumn("j", F.greatest("blk", "_o"))
-    return rows.withColumn("g", F.xxhash64(group, "i", "j")).drop("_nb", "_o")
+    return rows.withColumn("i", F.least("blk", "_o")).withColumn("j", F.greatest("blk", "_o")).drop("_nb", "_o")
+
+
+def _dealt(rows: DataFrame, group: str, parts: int) -> DataFrame:
+    return rows.repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and text_key (a 128-bit hash of the text)."""
+    return texts_of(docs).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def _set_keys(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    sets = distinct_shingles(texts)
+    return sets, [hashlib.md5(s.tobytes()).digest() for s in sets]
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with worker_task():
             for part in in_batches(frames):
-                sets = distinct_shingles(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"], "set_key": [hashlib.md5(s.tobytes()).digest() for s in sets], "sig": [signature(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
+                sets, keys = _set_keys(part["text"].tolist())
+                yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "set_key": keys, "sig": [signature(s).tobytes() for s in sets], "n": [len(s) for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id bigint, set_key binary, sig binary, n int")
+    return docs.mapInPandas(run, f"doc_id {kind}, text_key binary, set_key binary, sig binary, n int")
 
 
 def _shingle_rows(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in in_batches(frames):
-            yield pd.DataFrame({"rep": part["doc_id"], "shingles": [s.tobytes() for s in distinct_shingles(part["text"].tolist())]})
+        with worker_task():
+            for part in in_batches(frames):
+                sets, keys = _set_keys(part["text"].tolist())
+                yield pd.DataFrame({"set_key": keys, "shingles": [s.tobytes() for s in sets]})
 
-    return docs.mapInPandas(run, "rep bigint, shingles binary")
+    return docs.select("text").mapInPandas(run, "set_key binary, shingles binary")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document row: doc_id, class_id (least doc_id of its class) and n_links.
-
-    n_links counts the other documents whose shingle sets reach the threshold, copies included.
-    """
+def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """One row per document row: doc_id, text_key, class (a number), class_id, n_links."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = texts_of(docs).where("doc_id is not null")
     found = durable(_signatures(docs))
-    reps = durable(found.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+    sets = found.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    # Numbers are given when the table is written, so they hold for all that reads it.
+    reps = durable(sets.select(F.monotonically_increasing_id().alias("rep"), "set_key", F.col("least.doc_id").alias("doc_id"), F.col("least.text_key").alias("text_key"), "copies", "sig", "n"))
 
     live = reps.where("n > 0")
     band = F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(substring(sig, b * {4 * ROWS} + 1, {4 * ROWS}), b))"))
     bands = live.select("rep", band.alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     hits = bands.join(shared, "key")
-    candidates = in_block_pairs(hits.join(live.select("rep", "sig"), "rep"), "key", "m")
+    candidates = in_block_pairs(hits.join(live.select("rep", "sig"), "rep"), "key", F.ceil(F.col("m") / BLOCK))
     needed = needed_matches(threshold, tolerance)
-    dealt = candidates.select("g", "i", "j", "blk", "rep", "sig").repartition(parts, "g").sortWithinPartitions("g")
-    edges = dealt.mapInPandas(_grouped(lambda p: prune(p, needed), ["src", "dst"]), "src bigint, dst bigint")
-    groups = connected_components(edges, durable, local_edges=0).withColumnRenamed("node", "rep")
-    groups = durable(groups.join(reps.select("rep", "copies"), "rep"))
-
-    sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    members = in_block_pairs(groups.join(sizes, "root"), "root", "m")
-    wanted = groups.select(F.col("rep").alias("doc_id"))
-    bounded = groups.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if bounded else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = members.join(_shingle_rows(texts), "rep").select("g", "i", "j", "blk", "rep", "copies", "shingles").repartition(parts, "g").sortWithinPartitions("g")
-    linked = durable(rows.mapInPandas(_grouped(lambda p: verify(p, threshold), ["rep", "links", "low"]), "rep bigint, links bigint, low bigint"))
+    dealt = _dealt(candidates.select("key", "i", "j", "blk", "rep", "sig"), "key", parts)
+    edges = dealt.mapInPandas(_grouped(lambda p: prune(p, needed), ["src", "dst"], "key"), "src bigint, dst bigint")
+    groups = connected_components(edges, durable).withColumnRenamed("node", "rep")
+    groups = durable(groups.join(reps.select("rep", "set_key", "doc_id", "text_key", "copies", "n"), "rep"))
+
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    wanted = groups.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
+    shingles = _shingle_rows(texts).join(groups.select("rep", "set_key", "root", "copies"), "set_key").drop("set_key").dropDuplicates(["rep"])
+    rows = in_block_pairs(shingles.join(sizes, "root"), "root", F.col("blocks")).select("root", "i", "j", "blk", "rep", "copies", "shingles")
+    linked = durable(_dealt(rows, "root", parts).mapInPandas(_grouped(lambda p: verify(p, threshold), ["rep", "links", "low"], "root"), "rep bigint, links bigint, low bigint"))
 
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(linked.select(F.col("rep").alias("src"), F.col("low").alias("dst")), durable, local_edges=0).withColumnRenamed("node", "rep")
-    known = reps.select("set_key", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    known = known.select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return found.select("doc_id", "set_key").join(known, "set_key").select("doc_id", "class_id", "n_links")
+    roots = connected_components(linked.select(F.col("rep").alias("src"), F.col("low").alias("dst")), durable).withColumnRenamed("node", "rep")
+    known = reps.select("set_key", "rep", "doc_id", "copies").join(links, "rep", "left").join(roots, "rep", "left").withColumn("class", F.coalesce("root", "rep"))
+    least = known.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    known = known.join(least, "class").select("set_key", "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return found.select("doc_id", "text_key", "set_key").join(known, "set_key").drop("set_key")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per document row: doc_id, class_id (least doc_id of its class) and n_links.
+
+    n_links counts the other rows whose shingle sets reach the threshold, copies included.
+    """
+    return _classes(_keyed(docs), threshold, tolerance).select("doc_id", "class_id", "n_links")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """All columns of the documents that stay: one of each class, the one with the least id. Rows without id stay."""
-    gone = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"])).select(docs.columns)
+    """All columns of the documents that stay: one row of each class, one with the least id (a null id comes last).
+
+    Rows are removed by id and text, so another text of the same id stays. Of rows that repeat both, one stays.
+    """
+    order = lambda c: F.struct(F.col(c).isNull(), c, "text_key")
+    found = durable(_classes(_keyed(docs), THRESHOLD, TOLERANCE).groupBy("class", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    first = found.groupBy("class").agg(F.min(order("doc_id")).alias("least"))
+    marked = found.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (order("doc_id") == F.col("least")).alias("stays"), "n")
+    # Most rows stay, and few repeat: only the others are listed.
+    marked = durable(marked.where(~F.col("stays") | (F.col("n") > 1)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
+    rows = rows.join(marked, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").where(F.coalesce("stays", F.lit(True)))
+    one = rows.where("stays is null").select("row.*")
+    return one.unionByName(rows.where("stays").dropDuplicates(["_id", "_key"]).select("row.*"))
