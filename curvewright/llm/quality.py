@@ -1,12 +1,14 @@
 """Quality: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are trigrams of character classes (how a text is written) and word-repeat events; their tf-idf vectors are
-hashed to a fixed width and projected by a truncated SVD fitted on a bounded labelled sample. The sample's vectors
-are broadcast (rows and width are parameters, so their size is fixed), and each document takes exact cosine
-products with all of them in blocks; its nearest neighbours vote with their similarity as weight.
-
-Defined results: null and empty texts, and all texts when there is no labelled row, get the sample's mean label
-(0.5 when there is none); repeated rows score alike; an empty table gives no row; extra columns are ignored.
+Terms are hashed words, trigrams of character classes (how a text is written) and word-repeat events. Their tf-idf
+vectors are projected by a truncated SVD fitted on a bounded labelled sample. The sample's vectors are broadcast
+(rows and width are parameters, so their size is fixed), and each document takes exact cosine products with all of
+them in blocks; its nearest neighbours vote with their similarity as weight. The sample is balanced, so a neighbour's
+vote counts as many times as its class is larger among all learnable labels than in the sample.
+
+Defined results: texts without words, and all texts when there is no labelled row, get the share of good ones among
+the learnable labels (0.5 when there is none); repeated rows score alike; a null doc_id is scored and its held_out is
+null; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from .common import in_batches, keep_rows, per_text, texts_of
 from .labelled import held_out, training_rows
 from .textvec import word_hashes
 
-WIDTH = 1024
-#: The last columns count word events: equal to the word 1, 2, 3 before; words; words seen before in the text.
-EVENTS = 5
-RANK = 48
+#: Columns of character classes, of hashed words, and of word events: equal to the word 1, 2, 3 before; words; words
+#: seen before in the text.
+CLASSES, WORDS, EVENTS = 1019, 1024, 5
+WIDTH = CLASSES + WORDS + EVENTS
+RANK = 64
 NEIGHBOURS = 15
 #: Texts whose vectors are held at once, however short they are.
 BLOCK = 256
@@ -35,7 +38,7 @@ PER_CLASS = 2000
 _CLASS = np.full(256, 20, dtype=np.int64)
 for _n, _set in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r", ".", ",", "!", "?", "|", "'\"", "()[]{}", "#", "$", "%", "&", "*", "-_", ":;"]):
     _CLASS[[ord(c) for c in _set]] = _n
-_SPREAD = ((np.arange(21**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % (WIDTH - EVENTS)
+_SPREAD = ((np.arange(21**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % CLASSES
 
 
 def counts(texts: list[str]) -> np.ndarray:
@@ -45,19 +48,19 @@ def counts(texts: list[str]) -> np.ndarray:
     sizes = np.array([len(r) for r in raw])
     kinds = _CLASS[np.frombuffer(b"".join(raw), dtype=np.uint8)]
     if len(kinds) > 2:
-        ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
         code = kinds[:-2] * 441 + kinds[1:-1] * 21 + kinds[2:]
         whole = owner[:-2] == owner[2:]
         cells = owner[:-2][whole] * WIDTH + _SPREAD[code[whole]]
         out += np.bincount(cells, minlength=out.size).reshape(out.shape)
-        del ends
     words, owner = word_hashes(texts)
     for k in (1, 2, 3):
         if len(words) > k:
             same = (words[k:] == words[:-k]) & (owner[k:] == owner[:-k])
             out[:, WIDTH - EVENTS + k - 1] = np.bincount(owner[k:][same], minlength=len(texts))
     if len(words):
+        column = CLASSES + (words >> np.uint64(64 - 10)).astype(np.int64) * WORDS // 1024
+        out += np.bincount(owner * WIDTH + column, minlength=out.size).reshape(out.shape)
         out[:, WIDTH - 2] = np.bincount(owner, minlength=len(texts))
         order = np.lexsort((words, owner))
         again = (words[order][1:] == words[order][:-1]) & (owner[order][1:] == owner[order][:-1])
@@ -66,22 +69,34 @@ def counts(texts: list[str]) -> np.ndarray:
 
 
 def shares(found: np.ndarray) -> np.ndarray:
-    """Square roots of each term's share, so that long and short texts compare."""
-    head, events = found[:, : WIDTH - EVENTS], found[:, WIDTH - EVENTS :]
-    return np.sqrt(np.hstack([head / np.maximum(head.sum(1, keepdims=True), 1), events / np.maximum(events[:, 3:4], 1)]))
+    """Square roots of each term's share among the terms of its sort, so that long and short texts compare."""
+    sorts = found[:, :CLASSES], found[:, CLASSES : CLASSES + WORDS], found[:, CLASSES + WORDS :]
+    sizes = [np.maximum(x, 1) for x in (sorts[0].sum(1, keepdims=True), sorts[1].sum(1, keepdims=True), sorts[2][:, 3:4])]
+    return np.sqrt(np.hstack([x / n for x, n in zip(sorts, sizes, strict=True)]))
+
+
+def truncated_svd(x: np.ndarray, rank: int, rounds: int = 8, spare: int = 16) -> np.ndarray:
+    """The leading right singular vectors of x by subspace iteration from a fixed start."""
+    basis = np.random.default_rng(9).normal(size=(x.shape[1], min(rank + spare, x.shape[1])))
+    for _ in range(rounds):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    _, _, turn = np.linalg.svd(np.linalg.qr(x @ basis, mode="r"))
+    return basis @ turn.T[:, :rank]
 
 
 class Neighbours:
     """Labelled latent vectors and the projection that makes them."""
 
-    def __init__(self, found: np.ndarray, y: np.ndarray) -> None:
-        self.prior = float(y.mean()) if len(y) else 0.5
-        self.y = y.astype(np.float32)
+    def __init__(self, found: np.ndarray, y: np.ndarray, whole: tuple[int, int] | None = None) -> None:
+        """``whole``: how many learnable labels are 0 and 1, in and out of the sample."""
+        bad, good = whole or (int((y == 0).sum()), int((y == 1).sum()))
+        self.prior = good / (bad + good) if bad + good else 0.5
+        self.y = y.astype(np.float64)
+        self.times = np.where(y == 1, good / max((y == 1).sum(), 1), bad / max((y == 0).sum(), 1))
         x = shares(found)
         self.idf = np.log((1 + len(x)) / (1 + (found > 0).sum(0))) + 0.3
         x = x * self.idf
-        _, basis = np.linalg.eigh(x.T @ x) if len(x) else (None, np.eye(WIDTH))
-        self.basis = basis[:, ::-1][:, :RANK].astype(np.float32)
+        self.basis = truncated_svd(x, RANK).astype(np.float32)
         self.vectors = self._unit(x)
 
     def _unit(self, x: np.ndarray) -> np.ndarray:
@@ -96,11 +111,11 @@ class Neighbours:
             found = counts(texts[a : a + BLOCK])
             sims = self._unit(shares(found) * self.idf) @ self.vectors.T
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
+            w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4 * self.times[near]
             total = w.sum(1)
             voted = np.where(total > 0, (w * self.y[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
-            out[a : a + BLOCK] = np.where(found.sum(1) == 0, self.prior, voted)
-        return np.clip(out, 0, 1)
+            out[a : a + BLOCK] = np.where(found[:, WIDTH - 2] == 0, self.prior, voted)
+        return np.round(np.clip(out, 0, 1), 6)  # products of single precision differ a little from block to block
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Neighbours:
@@ -112,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInPandas(pack, f"doc_id {kind}, y int, x binary").collect(), key=lambda r: r["doc_id"])
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], dtype=np.float64).reshape(len(got), WIDTH)
-    return Neighbours(x, np.array([r["y"] for r in got]))
+    counted = labels.where(~held_out()).groupBy(F.col(label).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n"))
+    whole = {r["y"]: r["n"] for r in counted.collect()}
+    return Neighbours(x, np.array([r["y"] for r in got], dtype=np.int64), (whole.get(0, 0), whole.get(1, 0)))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
