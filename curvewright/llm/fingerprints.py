@@ -6,18 +6,20 @@ fraction is the whole range: likeness is the exact Jaccard likeness but for coll
 is kept beside them; it decides between texts without kept hashes.
 
 Defined results: a null text counts as empty and has the fingerprint ``-:``; texts without words are alike (1.0);
-repeated rows are documents of their own, ordered by hash of the text among equal ids; with a single row the next
-document is that row itself; an empty table gives no row; extra columns are ignored.
+repeated rows are documents of their own, ordered by hash of the text among equal ids; null ids come last; with a
+single row the next document is that row itself; an empty table gives no row; extra columns are ignored. Ids are
+numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts_of
@@ -86,6 +88,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range_of(bounds: list[float], nulls: int) -> tuple[Column, int]:
+    """The number of a row's range, ascending by (doc_id, _tie), null ids first, and how many ranges there are.
+
+    A bound that comes n times is an id that many rows share: its rows are dealt to n ranges by their hashes, as rows
+    without id are to ``nulls`` ranges. A bound is found in two steps of about the root of their number.
+    """
+    share = F.col("_tie") / F.lit(2.0**64) + F.lit(0.5)  # 0 to 1, ascending with the hash
+    part = lambda n: F.least(F.floor(share * n), n - 1).cast("int")
+    only_null = part(F.lit(nulls)) if nulls else F.lit(0)
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), only_null).otherwise(nulls).cast("int"), nulls + 1
+    values = sorted(set(bounds))
+    shared = [n if (n := bounds.count(b)) > 1 else 0 for b in values]
+    step = math.isqrt(len(values)) + 1
+    groups = [values[i : i + step] for i in range(0, len(values), step)]
+    up_to = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    group = up_to(F.lit([g[0] for g in groups]))
+    inner = F.element_at(F.array(*[F.lit(g) for g in groups]), group)
+    passed = F.when(group > 0, (group - 1) * step + up_to(inner)).otherwise(0)
+    # The interval after bound k begins where the one before ends, past the ranges of the bound's own id.
+    starts, at = [nulls], nulls
+    for n in shared:
+        at += 1
+        starts.append(at)
+        at += n
+    own = F.element_at(F.lit([0, *shared]), passed + 1)
+    bound = F.element_at(F.lit([values[0] - 1, *values]), passed + 1)
+    first = F.element_at(F.lit(starts), passed + 1)
+    where = first + F.when((own > 0) & (F.col("doc_id") == bound), part(own)).otherwise(own)
+    return F.when(F.col("doc_id").isNull(), only_null).otherwise(where).cast("int"), at + 1
+
+
 def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows dealt to ranges of doc_id, each range with a helper row: the first row of the range that follows it.
 
@@ -95,22 +129,22 @@ def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    where = F.lit(0)
-    if bounds:
-        where = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id")))
-    docs = docs.withColumn("_range", F.coalesce(where, F.lit(0)).cast("int")).withColumn("_tie", F.xxhash64("text"))
+    without, total = docs.agg(F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    bounds = docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 and total > without else []
+    where, ranges = _range_of(bounds, -(-without * ranges // total) if without else 0)
+    docs = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_range", where)
     ends = docs.groupBy("_range").agg(F.max(F.struct(F.col("doc_id"), F.col("_tie"))).alias("top")).collect()
     ends = sorted(((r["_range"], r["top"]["doc_id"], r["top"]["_tie"]) for r in ends), key=lambda r: r[0])
     # The first row of the next lower range follows the last of this one; after the lowest range the highest begins.
     goes = [(low[0], low[1], low[2], ends[(i + 1) % len(ends)][0]) for i, low in enumerate(ends)]
     schema = f"_range int, _top_id {kind}, _top_tie long, _also int"
     helpers = spark.createDataFrame(goes, schema) if goes else spark.createDataFrame([], schema)
-    rows = docs.join(F.broadcast(helpers), "_range", "left")
+    rows = docs.join(F.broadcast(helpers), "_range", "left")  # a row for each range
     is_top = F.col("doc_id").eqNullSafe(F.col("_top_id")) & (F.col("_tie") == F.col("_top_tie"))
     main = F.struct(F.col("_range").alias("at"), F.lit(False).alias("helper"))
     extra = F.struct(F.col("_also").alias("at"), F.lit(True).alias("helper"))
-    rows = rows.select("doc_id", "text", "_tie", F.explode(F.when(is_top & F.col("_also").isNotNull(), F.array(main, extra)).otherwise(F.array(main))).alias("_to"))
+    to = F.when(is_top & F.col("_also").isNotNull(), F.array(main, extra)).otherwise(F.array(main))
+    rows = rows.select("doc_id", "text", "_tie", F.explode(to).alias("_to"))
     return rows.select("doc_id", "text", "_tie", F.col("_to.at").alias("_range"), F.col("_to.helper").alias("_helper")), ranges
 
 
@@ -155,5 +189,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         if wait:
             yield pd.DataFrame(list(_compare(wait)), columns=COLUMNS)
 
-    dealt = rows.repartition(ranges, "_range").sortWithinPartitions(F.col("_range"), F.col("_helper"), F.col("doc_id").desc_nulls_last(), F.col("_tie").desc())
+    dealt = rows.repartitionById(ranges, "_range").sortWithinPartitions(F.col("_range"), F.col("_helper"), F.col("doc_id").desc_nulls_last(), F.col("_tie").desc())
     return dealt.select("_range", "_helper", "doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
