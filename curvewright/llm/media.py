@@ -11,9 +11,12 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -42,13 +45,30 @@ SIGNATURES = [
 ]
 
 
+#: Where a mark stands next, from a position on; -1 if nowhere.
+After = Callable[[bytes, int], int]
+
+
+def _places(blob: bytes) -> After:
+    """Look-ups of marks in a blob, which is searched once for each mark, however many signatures ask."""
+    known: dict[bytes, list[int]] = {}
+
+    def after(mark: bytes, at: int) -> int:
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), blob)]
+        k = bisect.bisect_left(known[mark], at)
+        return known[mark][k] if k < len(known[mark]) else -1
+
+    return after
+
+
 class Found(NamedTuple):
     kind: str
     start: int
     end: int
 
 
-def _wav(b: memoryview, at: int) -> int:
+def _wav(b: memoryview, at: int, after: After) -> int:
     if len(b) < at + 44 or bytes(b[at + 8 : at + 12]) != b"WAVE":
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -62,7 +82,7 @@ def _wav(b: memoryview, at: int) -> int:
     return end if data and pos in (end, end + 1) else 0
 
 
-def _png(b: memoryview, at: int) -> int:
+def _png(b: memoryview, at: int, after: After) -> int:
     pos, first = at + 8, True
     while pos + 12 <= len(b):
         size, name = struct.unpack_from(">I", b, pos)[0], bytes(b[pos + 4 : pos + 8])
@@ -76,7 +96,7 @@ def _png(b: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(b: memoryview, at: int, after: After) -> int:
     if len(b) < at + 13:
         return 0
     flags = b[at + 10]
@@ -102,15 +122,15 @@ def _gif(b: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
+def _jpeg(b: memoryview, at: int, after: After) -> int:
     pos = at + 2
     while pos + 4 <= len(b):
         if b[pos] != 0xFF:
             return 0
         mark = b[pos + 1]
         if mark == 0xDA:
-            end = bytes(b[pos:]).find(b"\xff\xd9")
-            return pos + end + 2 if end >= 0 else 0
+            end = after(b"\xff\xd9", pos)
+            return end + 2 if end >= 0 else 0
         if mark in (0x00, 0xD8, 0xD9):
             return 0
         size = struct.unpack_from(">H", b, pos + 2)[0]
@@ -120,7 +140,7 @@ def _jpeg(b: memoryview, at: int) -> int:
     return 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(b: memoryview, at: int, after: After) -> int:
     if len(b) < at + 54:
         return 0
     size, gap, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -128,7 +148,7 @@ def _bmp(b: memoryview, at: int) -> int:
     return at + size if good else 0
 
 
-def _gzip(b: memoryview, at: int) -> int:
+def _gzip(b: memoryview, at: int, after: After) -> int:
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
     tool, pos = zlib.decompressobj(31), at
@@ -141,7 +161,7 @@ def _gzip(b: memoryview, at: int) -> int:
     return min(pos, len(b)) - len(tool.unused_data) if tool.eof else 0
 
 
-def _flac(b: memoryview, at: int) -> int:
+def _flac(b: memoryview, at: int, after: After) -> int:
     pos, first = at + 4, True
     while pos + 4 <= len(b):
         head, size = b[pos], int.from_bytes(b[pos + 1 : pos + 4], "big")
@@ -155,20 +175,19 @@ def _flac(b: memoryview, at: int) -> int:
     return 0
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    end = bytes(b[at:]).find(b"%%EOF")
-    return at + end + 5 if end >= 0 and bytes(b[at + 5 : at + 6]).isdigit() else 0
+def _pdf(b: memoryview, at: int, after: After) -> int:
+    end = after(b"%%EOF", at)
+    return end + 5 if end >= 0 and bytes(b[at + 5 : at + 6]).isdigit() else 0
 
 
-def _zip(b: memoryview, at: int) -> int:
-    raw = bytes(b[at:])
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw) or b"PK\x01\x02" not in raw[:end]:
+def _zip(b: memoryview, at: int, after: After) -> int:
+    end, central = after(b"PK\x05\x06", at), after(b"PK\x01\x02", at)
+    if end < 0 or end + 22 > len(b) or not 0 <= central < end:
         return 0
-    return at + end + 22 + struct.unpack_from("<H", raw, end + 20)[0]
+    return end + 22 + struct.unpack_from("<H", b, end + 20)[0]
 
 
-def _mp4(b: memoryview, at: int) -> int:
+def _mp4(b: memoryview, at: int, after: After) -> int:
     pos = at
     while pos + 8 <= len(b):
         size, name = struct.unpack_from(">I", b, pos)[0], bytes(b[pos + 4 : pos + 8])
@@ -194,12 +213,13 @@ def _automaton():
 
 def carve(blob: bytes | None, inside: bool = True) -> list[Found]:
     """Every confirmed medium in the blob, outermost first by position; ``inside`` looks within others too."""
-    view, found, covered = memoryview(blob or b""), [], 0
-    for last, (kind, length, offset) in _automaton().iter(bytes(view).decode("latin-1")):
+    blob = bytes(blob or b"")
+    view, after, found, covered = memoryview(blob), _places(blob), [], 0
+    for last, (kind, length, offset) in _automaton().iter(blob.decode("latin-1")):
         start = last - length + 1 - offset
         if start < 0 or (start < covered and not inside):
             continue
-        if end := _CHECKS[kind](view, start):
+        if end := _CHECKS[kind](view, start, after):
             found.append(Found(kind, start, end))
             covered = max(covered, end)
     return found
