@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -57,18 +58,53 @@ def test_packing(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, WORD_BPE).count() == 0
 
 
-def test_tokenizers_equal_their_libraries():
+def odd_texts(n, seed):
+    """Random texts over special tokens, combining marks, letters that normalisation takes apart, and white space."""
+    r = random.Random(seed)
+    parts = [*" ▁ab,.é\n'sD!1́中😀\t\u2028\xa0\x85İΣ̌JHT\u0958\u09dċ-%", "<|", "|>", "<|endoftext|>", "'re", "İ,", "J̌.", "  ", "\n\n", " \n"]
+    return ["".join(r.choice(parts) for _ in range(r.randint(1, 60))) for _ in range(n)]
+
+
+FIXED_TEXTS = ["", " a  b ", "Σας ΟΔΥΣΣΕΥΣ", "<|endoftext|>", "<| İ,", "\u0958,", "J̌.", "▁ ▁a", "x,.,. y.. ,", "a" * 500, "ab " * 300, "\n", " \n", "\n\n a", "a \nb\n\n c ", "  "]
+
+
+def test_words_encode_as_the_whole_text():
     from tokenizers import Tokenizer
 
-    r = random.Random(1)
-    cases = ["", " a  b ", "Σας ΟΔΥΣΣΕΥΣ", "<|endoftext|>", "▁ ▁a", "x,.,. y.. ,", "a" * 500] + ["".join(r.choice(" ▁ab,.é\n'sD!<|1́中😀\t") for _ in range(r.randint(1, 80))) for _ in range(300)]
+    cases = FIXED_TEXTS + odd_texts(6000, 1)
     whole = Tokenizer.from_file(WORD_BPE).encode_batch(cases, add_special_tokens=False)
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(cases, WORD_BPE, None)] == [e.ids for e in whole]
-    pieces = sentencepieces.model(tokenizer_path("piece_bpe_32k.model"))
-    for text in cases:
-        ids = pieces.library.encode(text)
-        assert pieces.encode(text) == (",".join(map(str, ids)), pieces.library.decode(ids))
-    assert pieces._merge_long("▁characteristically") == pieces._merge_short("▁characteristically")
+    assert packing._goes_by_words(WORD_BPE)
+
+
+def test_other_tokenizers_encode_texts_whole():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert not packing._goes_by_words(path)
+    cases = FIXED_TEXTS + odd_texts(200, 3)
+    whole = Tokenizer.from_file(path).encode_batch(cases, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(cases, path)] == [[*e.ids, 1] for e in whole]
+
+
+def test_the_agenda_equals_the_library(monkeypatch):
+    cases = FIXED_TEXTS + odd_texts(3000, 2)
+    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    want = [pieces.library.encode(t) for t in cases]
+    assert [ids.tolist() for ids in pieces.encode_batch(cases)] == want
+    assert [pieces.decode(np.array(ids, dtype=int))[1:] for ids in want] == [pieces.library.decode(ids) for ids in want]
+    words = ["characteristically" * 5, "aaab" * 30, "中文é" * 20]
+    side_by_side = [pieces.merge("▁" + w) for w in words]
+    monkeypatch.setattr(sentencepieces, "SHORT", 2)
+    assert [pieces.merge("▁" + w) for w in words] == side_by_side == [pieces.library.encode(w) for w in words]
+
+
+def test_caches_of_words_change_no_ids(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "CACHE_WORDS", 20)
+    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    for k in range(40):
+        batch = [prose(30, k % 7), prose(30, k), ""]
+        assert [ids.tolist() for ids in pieces.encode_batch(batch)] == [pieces.library.encode(t) for t in batch]
 
 
 def test_sentencepiece_documents(odd_docs, no_docs):
@@ -81,16 +117,16 @@ def test_sentencepiece_documents(odd_docs, no_docs):
     assert sentencepieces.encode_documents(no_docs, path).count() == 0
 
 
-def test_sentencepiece_text_comes_from_the_ids():
-    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
-    shown = pieces.decode
-    pieces.decode = lambda ids: shown(ids).upper()
+def test_sentencepiece_checks_ids_and_text():
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = sentencepieces.PieceModel(path)
+    pieces.shown[pieces.id_of["▁word"]] = " WORD"
     with pytest.raises(ValueError, match="decoded ids"):
         pieces.encode("a word")
-    pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
-    pieces.encode("alpha beta")
-    pieces.back["alpha"] = " other"
-    assert pieces.encode("alpha beta")[1] == "other beta"
+    pieces = sentencepieces.PieceModel(path)
+    pieces.pair_rank = pieces.pair_rank[::-1].copy()
+    with pytest.raises(ValueError, match="disagree"):
+        pieces.encode("characteristically")
 
 
 def plain_text(blocks):
@@ -138,6 +174,75 @@ def test_html_long_notices_are_template(spark):
     assert all("Terms" not in got[i] and prose(300, i) in got[i] for i in range(12))
 
 
+def shop_page(i, optional=None):
+    """A page whose element names say nothing: menu, notice on some pages, text, tags that repeat, footer."""
+    paragraphs = "".join(f"<p>{prose(30, 100 * i + k)}</p>" for k in range(1 + i % 3))
+    menu = "".join(f"<div><a href=/{w}>{w}</a></div>" for w in prose(3 + i % 2, i % 5).split())
+    notice = "<section><b>Shop closes early today</b></section>" if (i % 2 if optional is None else optional) else ""
+    tags = f"<blockquote>{prose(2, i % 3)}</blockquote>"
+    return f"<html><body><div class=c{i}>{menu}</div><div class=k><h1>Title {prose(2, i)} {i}</h1>{notice}{paragraphs}{tags}</div><div class=z>Imprint {prose(2, 5)}</div></body></html>", paragraphs
+
+
+def test_html_slots_alone_find_the_article(spark):
+    made = [shop_page(i) for i in range(30)]
+    pages = spark.createDataFrame([(i, "https://a.org/", h) for i, (h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages, names=False).collect()}
+    for i, (_, paragraphs) in enumerate(made):
+        assert got[i] == "\n".join([f"Title {prose(2, i)} {i}", *re.findall("<p>(.*?)</p>", paragraphs)])
+    roles = {r.path: r.role for r in html_extract.templates(pages)[0].collect()}
+    assert roles["/html/body/div.k"] == "article" and roles["/html/body/div.k/blockquote"] == "boilerplate"
+    assert roles["/html/body/div.z"] == "frame" and roles["/html/body/div.k/p"] == "content"
+
+
+def test_html_classes_equal_brute_force_vectors(spark):
+    htmls = {f"{h}.org": [shop_page(7 * i + k)[0] for i in range(12)] for k, h in enumerate("ab")}
+    htmls["c.org"] = [shop_page(1)[0]]
+    rows = [(n, f"https://{h}/", html) for h, own in htmls.items() for n, html in enumerate([*own, own[0], None, " "])]
+    template, constant = html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got, texts = {}, {}
+    for r in template.collect():
+        got.setdefault(r.host, {})[r.path] = r
+    for r in constant.collect():
+        texts.setdefault(r.host, set()).add(r.token)
+    assert set(got) == {"a.org", "b.org"}
+    for host, found in got.items():
+        parsed = [html_extract.parse(h) for h in htmls[host]]
+        vector = {p: tuple(paths.count(p) for _, paths, _ in parsed) for p in {p for _, paths, _ in parsed for p in paths}}
+        valid = {p: v for p, v in vector.items() if sum(map(bool, v)) >= max(2, html_extract.SUPPORT * len(parsed))}
+        assert set(found) == set(valid)
+
+        def slot(path, valid=valid):
+            outer = path.rpartition("/")[0]
+            while outer and (outer not in valid or valid[outer] == valid[path]):
+                outer = outer.rpartition("/")[0]
+            return outer
+
+        by_class = {}
+        for p, v in valid.items():
+            by_class.setdefault((v, slot(p)), set()).add(p)
+            assert found[p].slot == slot(p) and found[p].pages == sum(map(bool, v))
+            assert found[p].parent == (found[slot(p)]["class"] if slot(p) else -1)
+        classes = {}
+        for p, r in found.items():
+            classes.setdefault(r["class"], set()).add(p)
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, by_class.values()))
+        stands = {}
+        for n, (blocks, _, _) in enumerate(parsed):
+            for block in blocks:
+                stands.setdefault((block.path, html_extract.text_token(block)), set()).add(n)
+        fixed = {t for (p, t), on in stands.items() if p in valid and len(on) >= max(2, html_extract.SHARE * sum(map(bool, valid[p])))}
+        assert texts.get(host, set()) == fixed and fixed
+
+
+def test_html_bears_repeats_long_pages_and_clashing_names(spark):
+    long = "<article>" + "".join(f"<p>{prose(20, i)}</p>" for i in range(3000)) + "</article>"
+    rows = [(1, "https://a.org/", long), (1, "https://a.org/", long), (None, None, "<p>x &#233; y"), (2, "https://a.org/", None)]
+    pages = spark.createDataFrame([(i, u, h, "t", 5, "h", 0) for i, u, h in rows], "page_id long, url string, html string, text string, n_chars int, host string, digest int")
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(pages).collect()), key=str)
+    whole = "\n".join(prose(20, i) for i in range(3000))
+    assert got == sorted([(1, whole, len(whole))] * 2 + [(None, "x é y", 5), (2, "", 0)], key=str)
+
+
 def brute_shingles(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -169,6 +274,25 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert fingerprints.containment(a, b) == 1.0 and fingerprints.kept_hashes(fingerprints.merge(a, b)) == fingerprints.kept_hashes(b)
 
 
+@pytest.mark.parametrize("ids", [[*range(50)], [7] * 30 + [*range(20)], [None] * 20 + [5] * 10 + [9] * 10 + [*range(10)], [None] * 9, [3]])
+def test_every_document_meets_the_next(spark, ids):
+    """Ids that many rows share, and null ids, are dealt to several ranges; order is by id, then hash of the text."""
+    rows = [(i, prose(12, n)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    want = sorted(hashlib.sha256(fingerprints.edited(t, order[(n + 1) % len(order)][1]).encode()).hexdigest() for n, (_, t) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in fingerprints.fingerprint_edits(docs).collect()) == want
+
+
+def test_sketches_equal_plain_sets():
+    for text in ("", "one two", prose(60, 1), prose(60, 1) + " x"):
+        (sketch,) = fingerprints.sketches([text])
+        (hashes,) = textvec.distinct_shingles([text])
+        assert fingerprints.kept_hashes(sketch) == {f"{int(h) >> 16:012x}" for h in hashes if int(h) <= int(fingerprints._LIMIT)}
+        assert sketch.partition(":")[0] == (f"{min(map(int, hashes)) >> 16:012x}" if len(hashes) else "-")
+
+
 @pytest.mark.parametrize("words", [6, 20, 50, 100, 500])
 def test_likeness_is_exact_at_every_length(words):
     for seed in range(20):
@@ -195,6 +319,33 @@ def test_media(odd_docs, no_docs):
     assert {(f.kind, f.end - f.start) for f in media.carve(wrapped)} >= {("audio/wav", len(wrapped)), ("image/png", len(png)), ("image/gif", len(gif))}
 
 
+def test_media_features_and_carving_equal_plain_ones():
+    import io
+    import wave
+    import zipfile
+
+    for text in ("", "abc é", prose(90, 1), "\x00\xff" * 50):
+        payload = media.payload_of(text)
+        with wave.open(io.BytesIO(stored := media.to_wav(payload))) as sound:
+            assert (sound.getnchannels(), sound.getsampwidth(), sound.readframes(sound.getnframes())) == (1, 1, payload)
+        assert media.from_wav(stored) == payload
+        x = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        mean = sum(x) / len(x)
+        dev = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        bins = ".".join(str(sum(b // 32 == k for b in payload)) for k in range(8))
+        assert media.feature(payload, media.carve(stored)) == f"mean={mean:.4f};dev={dev:.4f};cross={crossings};bins={bins};inner=-"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", prose(20, 1))
+    pdf = b"%PDF-1.4\nx\n%%EOF"
+    blob = b"??" + packed.getvalue() + b"--" + pdf + b"%PDF-" * 20_000
+    began = time.time()
+    found = {(f.kind, f.start, f.end) for f in media.carve(blob)}
+    size = len(packed.getvalue())
+    assert found == {("application/zip", 2, 2 + size), ("application/pdf", 4 + size, 4 + size + len(pdf))} and time.time() - began < 5
+
+
 @pytest.fixture(scope="session")
 def labelled(spark):
     rows = []
@@ -225,19 +376,81 @@ def test_classifiers(labelled, odd_docs, no_docs, module, label):
     assert keep(docs, labels).columns == docs.columns
 
 
+def test_quality_votes_equal_plain_neighbours():
+    texts = [prose(30 + i % 9, i) if i % 3 else " ".join(["again"] * 9) + prose(20, i) for i in range(120)]
+    y = np.array([int(i % 3 > 0) for i in range(80)])
+    fitted = quality.Neighbours(quality.counts(texts[:80]), y, (100, 900))
+    asked = [*texts[80:], "", " \n"]
+
+    def place(text):
+        v = (quality.shares(quality.counts([text]))[0] * fitted.idf) @ fitted.basis
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    known = [place(t) for t in texts[:80]]
+    want = []
+    for text in asked:
+        if not text.split():
+            want.append(0.9)
+            continue
+        sims = [float(place(text) @ v) for v in known]
+        near = sorted(range(80), key=lambda k: -sims[k])[: quality.NEIGHBOURS]
+        votes = [max(sims[k], 0) ** 4 * (900 / (y == 1).sum() if y[k] else 100 / (y == 0).sum()) for k in near]
+        want.append(sum(v for v, k in zip(votes, near, strict=True) if y[k]) / sum(votes))
+    assert np.allclose(fitted.vote(asked), want, atol=1e-4)
+    assert np.allclose(fitted.vote(asked[:5] * 60)[-5:], fitted.vote(asked[:5] * 60)[:5], atol=2e-6)
+    assert (quality.counts(["great book"]) != quality.counts(["awful junk"])).any()
+    x = np.random.default_rng(1).normal(size=(50, 20)) @ np.diag(0.6 ** np.arange(20))
+    assert np.allclose(np.abs(np.linalg.svd(x)[2][:4] @ quality.truncated_svd(x, 4)), np.eye(4), atol=1e-3)
+
+
+def test_toxicity_training_descends_the_joint_loss():
+    texts = [prose(20, i) + (" blarghead" if i % 4 == 0 else "") for i in range(80)]
+    y = np.array([int(i % 4 == 0) for i in range(80)])
+    rows = [toxicity.packed(b) for b in toxicity.bags(texts)]
+    scalar, bias = toxicity.train(rows, y)
+    for text, row in zip(texts, rows, strict=True):
+        ids, n = toxicity.unpacked(row)
+        plain = bias + float((scalar[ids] * n).sum() / n.sum())
+        assert toxicity.logits([text], scalar, bias)[0] == pytest.approx(plain, abs=1e-4)
+    loss = lambda z: float(np.mean(np.log1p(np.exp(np.where(y == 1, -z, z)))))
+    assert loss(toxicity.logits(texts, scalar, bias)) < loss(np.full(80, np.log(0.25 / 0.75))) / 2
+    unseen = toxicity.logits([prose(20, 500) + " blarrghead", prose(20, 500)], scalar, bias)
+    assert unseen[0] > unseen[1]
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_classifiers_score_odd_rows(spark, labelled, odd_docs, module):
+    docs, labels = labelled
+    extra = spark.createDataFrame([(None, "alpha beta"), (None, None)], "doc_id long, text string")
+    rows = module.score(odd_docs.select("doc_id", "text").unionByName(extra), labels).collect()
+    assert len(rows) == odd_docs.count() + 2
+    assert all(r.held_out is None for r in rows if r.doc_id is None) and all(0 <= r.score <= 1 for r in rows)
+    empty = {r.score for r in rows if r.doc_id in (1, 2, 3)}
+    share = np.mean([r[0] for r in labels.where("crc32(cast(doc_id as string)) % 5 != 0").select("quality").collect()])
+    assert len(empty) == 1 and (module is toxicity or empty.pop() == pytest.approx(share, abs=1e-5))
+    assert len({r.score for r in rows if r.doc_id in (5, 6)}) == 1
+
+
 def brute_join(rows):
+    """(doc_id, least id of the class, links) of each row, and its class, by all pairs of rows."""
     sets = [brute_shingles(t or "") for _, t in rows]
     near = lambda a, b: a == b or (len(a | b) and len(a & b) / len(a | b) >= 0.8)
     links = [[j for j in range(len(rows)) if j != i and near(sets[i], sets[j])] for i in range(len(rows))]
     root = list(range(len(rows)))
     for _ in rows:
-        root = [min([root[i], *(root[j] for j in links[i])], key=lambda k: rows[k][0]) for i in range(len(rows))]
-    return sorted((rows[i][0], rows[root[i]][0], len(links[i])) for i in range(len(rows)))
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(rows))]
+    least = {r: min((i for k, (i, _) in enumerate(rows) if root[k] == r and i is not None), default=None) for r in set(root)}
+    return sorted(((rows[i][0], least[root[i]], len(links[i])) for i in range(len(rows))), key=str), root
+
 
+def join_rows(docs):
+    return sorted((tuple(r) for r in near_join.near_classes(docs).collect()), key=str)
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_near_join(spark, odd_docs, no_docs, monkeypatch, block):
-    monkeypatch.setattr(near_join.in_block_pairs, "__defaults__", (block,))
+
+@pytest.mark.parametrize(("block", "shingles"), [(4, 1 << 20), (512, 300)])
+def test_near_join(spark, odd_docs, no_docs, monkeypatch, block, shingles):
+    monkeypatch.setattr(near_join, "BLOCK", block)
+    monkeypatch.setattr(near_join, "BLOCK_SHINGLES", shingles)
     r, base = random.Random(5), prose(120, 9).split()
     rows = [(x.doc_id, x.text) for x in odd_docs.collect()]
     for i in range(30):
@@ -245,11 +458,42 @@ def test_near_join(spark, odd_docs, no_docs, monkeypatch, block):
         for _ in range(r.randint(0, 5)):
             w[r.randrange(len(w))] = "changed"
         rows.append((100 + i, " ".join(w)))
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rep string")
-    assert sorted(tuple(x) for x in near_join.near_classes(docs).collect()) == brute_join(rows)
-    kept = near_join.drop_near_copies(docs)
-    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c, _ in brute_join(rows)})
-    assert near_join.near_classes(no_docs).count() == 0
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, rep string, class long")
+    want, _ = brute_join(rows)
+    assert join_rows(docs) == want
+    if block == 4:
+        kept = near_join.drop_near_copies(docs)
+        assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted({c for _, c, _ in want})
+        assert near_join.drop_near_copies(no_docs).count() == 0
+
+
+def test_near_join_bears_repeated_and_null_ids(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, a), (None, prose(80, 3)), (None, None), (4, ""), (5, prose(80, 4)), (5, prose(80, 4))]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    want, root = brute_join(rows)
+    assert join_rows(docs.select("doc_id", "text")) == want
+    kept = [(r.doc_id, r.text, r.n) for r in near_join.drop_near_copies(docs).collect()]
+    assert sorted(root[n] for _, _, n in kept) == sorted(set(root))
+    assert sorted(((i, t or "") for i, t, _ in kept), key=str) == sorted([(1, a), (1, b), (None, prose(80, 3)), (4, ""), (5, prose(80, 4))], key=str)
+    text_ids = docs.selectExpr("cast(doc_id as string) doc_id", "text")
+    assert [(i, c, n) for i, c, n in join_rows(text_ids)] == sorted(((i and str(i), c and str(c), n) for i, c, n in want), key=str)
+
+
+def test_near_join_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from curvewright.llm import queries
+
+    r, base = random.Random(6), prose(60, 11).split()
+    rows = [(i, prose(r.choice([3, 30, 60]), i % 25)) for i in range(60)] + [(100 + i, " ".join(base[: 50 + i])) for i in range(11)] + [(200, None), (201, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(x) for x in queries.QUERIES["op7_ngram_jaccard_join"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(brute_join(rows)[0])
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op7_ngram_jaccard_join"]).fetchall())
 
 
 def test_token_counts(odd_docs, no_docs):
@@ -265,6 +509,14 @@ def test_token_counts(odd_docs, no_docs):
             start = r.randint(0, len(counted.text) + 2)
             got = counted.edit(start, start + r.randint(0, 9), "".join(r.choice("ab  '\n.1s") for _ in range(r.randint(0, 12))))
             assert got == len(encoding.encode_ordinary(counted.text))
+    long = token_counts.CountedText(prose(50_000, 5), cut, count)
+    size, levels = long.tree.total[1], len(long.tree.levels)
+    for _ in range(200):
+        long.tree.touched = 0
+        start = r.randrange(size - 100)
+        long.edit(start, start + r.randint(0, 20), prose(r.randint(0, 3), start))
+        assert long.tree.touched <= 4 * levels and long.recounted < 40
+    assert long.total == len(encoding.encode_ordinary(long.text))
     want = texts(odd_docs)
     for x in token_counts.count_edited(odd_docs, path, public_tokenizers.PATTERN).collect():
         a, b, new = token_counts.middle_edit(want[x.doc_id])
@@ -299,14 +551,87 @@ def test_pii_base_spans(spark, odd_docs, no_docs):
     assert pii.digest(no_docs).count() == 0
 
 
+def bootstrap_docs():
+    """Seeds in contexts of their own, unseen identifiers in the same contexts, and plain numbers elsewhere."""
+    r, rows = random.Random(8), []
+    for i in range(40):
+        rows.append((i, f"note {prose(20, i)} reach user{i:04d}@mail.example or so"))
+        rows.append((100 + i, f"{prose(5, i)} call me at +1 (234) 567-{r.randint(1000, 9999)} please"))
+        rows.append((200 + i, f'{prose(5, i)} token = "{r.getrandbits(160):040x}" {prose(3, i)}'))
+        rows.append((300 + i, f"{prose(6, i)} {r.randint(10000, 99999)} {prose(4, i)}"))
+    odd = {400: ("please reach user7777@mailhost now", "found_email:13:30"), 401: ("x call me at 234 567 8901, please", "found_phone:13:25"),
+           402: ('a token = "Key-9f8e7d6c5b4a3928" b', "secret:11:31"), 403: ("plain words 123456 only", "")}
+    return rows + [(i, t) for i, (t, _) in odd.items()], {i: s for i, (_, s) in odd.items()}
+
+
 def test_pii_bootstrapping_and_redaction(spark):
-    rows = [(i, f"note {prose(20, i)} reach user{i:04d}@mail.example or so") for i in range(40)] + [(90, "please reach user7777@mailhost now"), (91, "plain words 123456 only")]
-    docs = spark.createDataFrame([(i, t, "y") for i, t in rows], "doc_id long, text string, spans string")
-    got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
-    assert all(s.startswith("email:") for i, s in got.items() if i < 40)
+    rows, odd = bootstrap_docs()
+    rows += [(5, "other text under the same id"), (None, "reach user0001@mail.example or so"), (None, None), (7, rows[28][1]), (7, rows[28][1])]
+    docs = spark.createDataFrame([(i, t, "y", i, 1) for i, t in rows], "doc_id long, text string, spans string, _k long, _cuts int")
+    found = pii.digest(docs).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r.spans for r in found if r.doc_id != 5 and r.doc_id is not None}
+    assert {i: got[i] for i in odd} == odd
+    assert all(s.startswith("email:") for i, s in got.items() if i < 40) and all(got[300 + i] == "" for i in range(40))
+    assert all(s.startswith("phone:") for i, s in got.items() if 100 <= i < 140) and all(s.startswith("secret:") for i, s in got.items() if 200 <= i < 240)
+    redacted = pii.redact(docs)
+    clean = redacted.collect()
+    assert redacted.columns == docs.columns and len(clean) == len(rows)
+    text = {r.doc_id: r.text for r in clean}
+    assert text[400] == "please reach <EMAIL> now" and text[401] == "x call me at <PHONE>, please" and text[402] == 'a token = "<SECRET>" b' and text[403] == rows[-6][1]
+    assert sorted(r.text for r in clean if r.doc_id == 5) == sorted([rows[20][1].replace("user0005@mail.example", "<EMAIL>"), "other text under the same id"])
+    assert sorted(str(r.text) for r in clean if r.doc_id is None) == ["None", "reach <EMAIL> or so"]
+    assert all(r._k == r.doc_id and r._cuts == 1 for r in clean)
+    assert pii.redact(docs.limit(0)).count() == 0
+
+
+def plain_patterns(rows, confidence=pii.CONFIDENCE, seeds=pii.SEEDS):
+    """The scores of patterns by plain loops over candidate rows."""
+    edges = {}
+    for r in rows:
+        for p in r.patterns:
+            e = edges.setdefault((bytes(p), bytes(r.instance)), [0, r.seed, 0])
+            e[0] += 1
+            e[2] |= r.fits
+    share, scores = {}, {}
+    while True:
+        before, scores = scores, {}
+        for p in {p for p, _ in edges}:
+            own = [(x, *e) for (q, x), e in edges.items() if q == p]
+            for k, kind in enumerate(pii.KINDS):
+                if sum(seed == kind for _, _, seed, _ in own) >= seeds:
+                    mass = sum(n * (seed == kind if seed else share.get((x, kind), 0)) for x, n, seed, _ in own)
+                    if mass / sum(n for _, n, _, _ in own) >= confidence:
+                        scores[p, kind] = mass / sum(n for _, n, _, _ in own)
+        if before.keys() == scores.keys() and all(abs(before[k] - scores[k]) < 1e-6 for k in scores):
+            return scores
+        left = {}
+        for (p, x), (_, seed, fits) in edges.items():
+            for k, kind in enumerate(pii.KINDS):
+                if not seed and (p, kind) in scores and fits >> k & 1:
+                    left[x, kind] = left.get((x, kind), 1) * max(1 - scores[p, kind], 1e-9)
+        share = {k: 1 - v for k, v in left.items()}
+
+
+def test_pii_scores_equal_plain_loops(spark):
+    rows, _ = bootstrap_docs()
+    found = common.durable(pii.candidates(pii.matches(common.texts_of(spark.createDataFrame(rows, "doc_id long, text string")))))
+    want = plain_patterns(found.collect())
+    got = {(bytes(r.pattern), r.kind): r.score for r in pii.confident_patterns(found).collect()}
+    assert got.keys() == want.keys() and len(got) > 4 and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    part = "write to a.b@c.de or 10.0.0.1 soon 4111 1111 1111 1111 é😀 "
+    long = part * 20_000
+    docs = spark.createDataFrame([(1, long), (2, "1 2 " * 100_000 + "3x"), (3, "word " * 100_000 + "@" * 100_000)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(docs).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card) == (20_000, 20_000, 20_000)
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert "@" not in clean[5] and "<EMAIL>" in clean[5] and clean[91] == rows[-1][1]
-    assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == len(rows)
+    assert clean[1] == part.replace("a.b@c.de", "<EMAIL>").replace("10.0.0.1", "<IP>").replace("4111 1111 1111 1111", "<CARD>") * 20_000
+    assert clean[3] == "word " * 100_000 + "@" * 100_000
+    assert time.time() - began < 120
 
 
 def test_pipeline_stages(spark, labelled, tmp_path):
