@@ -32,6 +32,22 @@ def frame(direction: Sequence[float]) -> tuple[tuple[float, ...], tuple[float, .
     return d, u, cross(d, u)
 
 
+def frame_columns(direction: Sequence[Column]) -> tuple[list[Column], list[Column], list[Column]]:
+    """``frame`` of a direction that is given by columns."""
+
+    def cross(p: Sequence, q: Sequence) -> list[Column]:
+        return [p[(i + 1) % 3] * q[(i + 2) % 3] - p[(i + 2) % 3] * q[(i + 1) % 3] for i in range(3)]
+
+    def unit(p: Sequence[Column]) -> list[Column]:
+        n = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
+        return [c / n for c in p]
+
+    d = unit(direction)
+    steep = F.abs(d[0]) < 0.9
+    u = unit(cross(d, [F.when(steep, 1.0).otherwise(0.0), F.when(steep, 0.0).otherwise(1.0), F.lit(0.0)]))
+    return d, u, cross(d, u)
+
+
 def tube_point(t: Column, angle: Column, radius: float | Column, d: Sequence, u: Sequence, v: Sequence, origin: Sequence = (0.0, 0.0, 0.0)) -> list[Column]:
     """x, y, z on a cylinder: along the axis by t, around it by the angle. Vectors may hold numbers or columns."""
     lift = lambda c: c if isinstance(c, Column) else F.lit(float(c))

@@ -35,7 +35,10 @@ def lopsidedness(m: pd.DataFrame) -> np.ndarray:
 
 
 def contract(points: np.ndarray, left: np.ndarray, right: np.ndarray, anchor: np.ndarray, wl: float, growth: float, iterations: int) -> list[np.ndarray]:
-    """All iterates of (wl² LᵀL + W²) P' = W² P with wl growing; L is the graph Laplacian, W the anchor weights."""
+    """All iterates of (wl² LᵀL + W²) P' = W² P with wl growing; L is the graph Laplacian, W the anchor weights.
+
+    Raises when conjugate gradients do not reach the tolerance.
+    """
     n = len(points)
     degree = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
     frames, place, hold = [points], points, anchor**2
@@ -76,6 +79,9 @@ def contract(points: np.ndarray, left: np.ndarray, right: np.ndarray, anchor: np
             new = (r * z).sum(0)
             p = z + new / np.maximum(rz, 1e-300) * p
             rz = new
+        else:
+            if (np.linalg.norm(r, axis=0) > stop).any():
+                raise ArithmeticError(f"the contraction of {n} points did not converge in {CG_STEPS} steps")
         place = x
         frames.append(place)
         wl *= growth

@@ -9,12 +9,13 @@ from ..functions.geometry import AXES
 from ..functions.lineage import settle
 from .components import connected_components
 from .neighbors import with_lengths
+from .order import exact_median, numbered
 from .topology import degrees
 
 
 def median_edge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cloud, median_edge): exact median edge length from coordinates; 0.0 without edges."""
-    lengths = with_lengths(edges, nodes).groupBy("cloud").agg(F.median("w").alias("_m"))
+    lengths = exact_median(settle(with_lengths(edges, nodes).select("cloud", "w")), "w", "_m")
     return nodes.select("cloud").distinct().join(lengths, "cloud", "left").select("cloud", F.coalesce("_m", F.lit(0.0)).alias("median_edge"))
 
 
@@ -26,7 +27,9 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merged: DataFrame, places: D
     """
     roots = connected_components(merged.select("cloud", "src", "dst"), settle, ("cloud",)).withColumnRenamed("node", "id")
     member = nodes.select("cloud", "id").join(roots, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("root", "id").alias("root"))
-    member = settle(member.join(dense_ids(member.select("cloud", F.col("root").alias("id")).distinct()), (["cloud", "root"])).select("cloud", "id", "node_id"))
+    member = settle(member)
+    number = numbered(member.select("cloud", "root").distinct(), "root", ["root"], "node_id")
+    member = settle(member.join(number, ["cloud", "root"]).select("cloud", "id", "node_id"))
     at = (places if places is not None else nodes).select("cloud", "id", *AXES)
     new_nodes = at.join(member, ["cloud", "id"]).groupBy("cloud", "node_id").agg(*[F.avg(c).alias(c) for c in AXES]).withColumnRenamed("node_id", "id")
     side = lambda s, n: member.select("cloud", F.col("id").alias(s), F.col("node_id").alias(n))
@@ -35,22 +38,6 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merged: DataFrame, places: D
     return new_nodes.select("cloud", "id", *AXES), new_edges, member
 
 
-def dense_ids(ids: DataFrame, buckets: int = 64) -> DataFrame:
-    """(cloud, root, node_id): 0-based ranks of distinct ids within each cloud.
-
-    Ids are dealt to ranges of values, counted, and ranked within their range, so that one large cloud is no single
-    task.
-    """
-    from pyspark.sql import Window
-
-    span = ids.groupBy("cloud").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-    dealt = ids.join(span, "cloud").withColumn("_b", F.floor((F.col("id") - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)).cast("int"))
-    counts = dealt.groupBy("cloud", "_b").agg(F.count("*").alias("_n"))
-    before = counts.select("cloud", "_b", (F.sum("_n").over(Window.partitionBy("cloud").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("cloud", "_b").orderBy("id")) - 1
-    return dealt.withColumn("_r", rank).join(before, ["cloud", "_b"]).select("cloud", F.col("id").alias("root"), (F.col("_r") + F.col("_before")).alias("node_id"))
-
-
 def junction_edges(nodes: DataFrame, edges: DataFrame, max_gap: DataFrame) -> DataFrame:
     """Edges between two nodes of degree 3 or more that are shorter than the cloud's max_gap."""
     branch = degrees(nodes, edges).where("degree >= 3").select("cloud", "id")

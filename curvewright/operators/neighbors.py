@@ -12,95 +12,93 @@ from ..config import NeighborConfig
 from ..functions.geometry import AXES, distance
 from ..functions.lineage import settle
 from .components import connected_components
+from .order import exact_median
 
-#: Clouds up to so many points are compared within the cloud; larger ones go through grid cells.
-SMALL_CLOUD = 1500
 EPS = 1e-9
 
 
-def _halves(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return points.select("cloud", "id", *AXES).alias("a"), points.select("cloud", "id", *AXES).alias("b")
+def _cells(points: DataFrame, radius: Column, sent: bool) -> DataFrame:
+    """points with the cubic cell cx, cy, cz that each is in, as wide as the radius; ``sent`` to all 27 around it.
 
+    A cell is a hair wider than the radius, so that pairs exactly at it never stand two cells apart; a radius of zero
+    needs any width.
+    """
+    width = F.when(radius > 0, radius * (1 + 1e-9)).otherwise(1.0)
+    found = points.select("*", *[F.floor(F.col(c) / width).alias(f"c{c}") for c in AXES])
+    if not sent:
+        return found
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for c in AXES:
+        found = found.withColumn(f"_{c}", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"_{c}")).drop(f"_{c}")
+    return found
 
-def pairs_within(points: DataFrame, radius: Column | float, ordered: bool = True) -> DataFrame:
-    """(cloud, src, dst, w) of all pairs at most ``radius`` apart (a number or a column of points), inclusive.
 
-    Both sides are put into cubic cells as wide as the radius; one side is sent to its 27 neighbouring cells, so the
-    join is an equi-join on the cell and each pair meets exactly once. ``ordered`` keeps src < dst only.
+def _meet(asking: DataFrame, everyone: DataFrame, ordered: bool) -> DataFrame:
+    """(cloud, src, dst, w) of an asking point and another at most its ``r`` apart, from rows with cells.
+
+    One side is sent to its 27 neighbouring cells, so the join is an equi-join on the cell and a pair meets once.
     """
-    r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    wide = points.select("cloud", "id", *AXES, r.alias("r"))
-    # A hair wider than the radius, so that pairs exactly at it never stand two cells apart; zero needs any width.
-    width = F.when(F.col("r") > 0, F.col("r") * (1 + 1e-9)).otherwise(1.0)
-    cells = wide.select("*", *[F.floor(F.col(c) / width).alias(f"c{c}") for c in AXES])
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    sent = cells
+    a, b = asking.alias("a"), everyone.alias("b")
+    same = F.col("a.cloud") == F.col("b.cloud")
     for c in AXES:
-        sent = sent.withColumn(f"_{c}", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"_{c}")).drop(f"_{c}")
-    a, b = sent.alias("a"), cells.drop("r").alias("b")
-    same = (F.col("a.cloud") == F.col("b.cloud")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
+        same &= F.col(f"a.c{c}") == F.col(f"b.c{c}")
     apart = F.col("a.id") < F.col("b.id") if ordered else F.col("a.id") != F.col("b.id")
     w = distance("a", "b")
-    return a.join(b, same & apart & (w <= F.col("a.r"))).select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), w.alias("w"))
-
+    joined = a.join(b, same & apart & (w <= F.col("a.r")))
+    return joined.select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), w.alias("w"))
 
-def _top_k(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("cloud", "src").orderBy("w", "dst")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def pairs_within(points: DataFrame, radius: Column | float) -> DataFrame:
+    """(cloud, src, dst, w) of all pairs, src < dst, at most ``radius`` apart (a number or a column), inclusive."""
+    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    wide = points.select("cloud", "id", *AXES, r.alias("r"))
+    return _meet(_cells(wide, F.col("r"), True), _cells(wide, F.col("r"), False), True)
 
-def nearest(points: DataFrame, k: int) -> DataFrame:
-    """(cloud, src, dst, w, rank): the k nearest other points of every point, ties by id; fewer in tiny clouds.
 
-    Neighbours are told apart by id, so a coincident point is a neighbour at distance 0. Large clouds use cells: the
-    first radius comes from how many cells are occupied at halving widths (one aggregate); points that find k
-    neighbours within the radius are final, the others go on with twice the radius.
-    """
-    counts = points.groupBy("cloud").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))])
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest <= SMALL_CLOUD:
-        a, b = _halves(points)
-        pairs = a.join(b, (F.col("a.cloud") == F.col("b.cloud")) & (F.col("a.id") != F.col("b.id")))
-        return _top_k(pairs.select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), distance("a", "b").alias("w")), k)
+def _start_radius(points: DataFrame) -> DataFrame:
+    """(cloud, n, r): the width at which a cloud's occupied cells hold two points on average, from one aggregate."""
+    ends = [f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]
     span = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in AXES])
-    counts = counts.select("cloud", "n", span.alias("span"))
+    counts = points.groupBy("cloud").agg(F.count("*").alias("n"), *ends).select("cloud", "n", span.alias("span"))
     levels = range(1, 21)
-    occupied = points.join(counts, "cloud").groupBy("cloud").agg(
-        F.first("n").alias("n"), F.first("span").alias("span"),
-        *[F.approx_count_distinct(F.struct(*[F.floor(F.col(c) * 2.0**j / F.greatest("span", F.lit(1e-300))) for c in AXES])).alias(f"o{j}") for j in levels])
+    cell = lambda j: F.struct(*[F.floor(F.col(c) * 2.0**j / F.greatest("span", F.lit(1e-300))) for c in AXES])
+    occupied = points.join(counts, "cloud").groupBy("cloud", "n", "span").agg(*[F.approx_count_distinct(cell(j)).alias(f"o{j}") for j in levels])
     fine = F.greatest(*[F.when(F.col("n") / F.col(f"o{j}") >= 2.0, F.lit(j)).otherwise(0) for j in levels])
-    start = settle(occupied.select("cloud", "n", F.when(F.col("span") > 0, F.col("span") / F.pow(F.lit(2.0), fine)).otherwise(1.0).alias("r")))
-    waiting, found = points.select("cloud", "id", *AXES), None
+    return occupied.select("cloud", "n", F.when(F.col("span") > 0, F.col("span") / F.pow(F.lit(2.0), fine)).otherwise(1.0).alias("r"))
+
+
+def nearest(points: DataFrame, k: int) -> DataFrame:
+    """(cloud, src, dst, w): the k nearest other points of every point, ties by id; fewer in tiny clouds.
+
+    Neighbours are told apart by id, so a coincident point is a neighbour at distance 0. The first radius comes from
+    how many cells are occupied at halving widths; points that find k neighbours within it are final, the others go
+    on with twice, then four times as much. Each round is one table.
+    """
+    points = points.select("cloud", "id", *AXES)
+    start = settle(_start_radius(points)).where("n > 1")
+    waiting, found, wider = points.join(start, "cloud"), None, 1
+    everyone = points.join(start, "cloud")
     while True:
-        asking = waiting.join(start, "cloud").withColumn("_asks", F.lit(True))
-        everyone = points.select("cloud", "id", *AXES).join(start, "cloud")
-        pairs = _pairs_between(asking, everyone)
-        hit = _top_k(pairs, k)
-        full = hit.groupBy("cloud", F.col("src").alias("id")).agg(F.count("*").alias("m")).join(start, "cloud").where(F.col("m") >= F.least(F.lit(k), F.col("n") - 1)).select("cloud", "id")
-        full = settle(full)
-        done = settle(hit.join(full.withColumnRenamed("id", "src"), ["cloud", "src"], "left_semi"))
-        found = done if found is None else found.unionByName(done)
-        waiting = settle(waiting.join(full, ["cloud", "id"], "left_anti").join(start.where("n > 1").select("cloud"), "cloud", "left_semi"))
+        radius = F.col("r") * wider
+        asking = _cells(waiting, radius, True).withColumn("r", radius)
+        pairs = _meet(asking, _cells(everyone, radius, False), False)
+        if k == 1:
+            hit = pairs.groupBy("cloud", "src").agg(F.min(F.struct("w", "dst")).alias("h")).select("cloud", "src", "h.dst", "h.w", F.lit(1).alias("m"))
+        else:
+            own = Window.partitionBy("cloud", "src")
+            ranked = pairs.withColumn("_rank", F.row_number().over(own.orderBy("w", "dst"))).where(F.col("_rank") <= k)
+            hit = ranked.withColumn("m", F.count("*").over(own)).drop("_rank")
+        hit = settle(hit.join(start.select("cloud", "n"), "cloud").where(F.col("m") >= F.least(F.lit(k), F.col("n") - 1)).drop("n", "m"))
+        found = hit if found is None else found.unionByName(hit)
+        waiting = settle(waiting.join(hit.select("cloud", F.col("src").alias("id")).distinct(), ["cloud", "id"], "left_anti"))
         if waiting.isEmpty():
             return found
-        start = start.withColumn("r", F.col("r") * 2)
-
-
-def _pairs_between(asking: DataFrame, everyone: DataFrame) -> DataFrame:
-    """Ordered pairs (asking point, other point) within the cloud's radius r, by cells."""
-    cell = [F.floor(F.col(c) / (F.col("r") * (1 + 1e-9))).alias(f"c{c}") for c in AXES]
-    sent, cells = asking.select("cloud", "id", *AXES, "r", *cell), everyone.select("cloud", "id", *AXES, *cell)
-    for c in AXES:
-        sent = sent.withColumn(f"_{c}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"_{c}")).drop(f"_{c}")
-    a, b = sent.alias("a"), cells.alias("b")
-    same = (F.col("a.cloud") == F.col("b.cloud")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cz") == F.col("b.cz"))
-    w = distance("a", "b")
-    return a.join(b, same & (F.col("a.id") != F.col("b.id")) & (w <= F.col("a.r"))).select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), w.alias("w"))
+        wider *= 2 if wider == 1 else 4
 
 
 def pitch(points: DataFrame) -> DataFrame:
     """(cloud, pitch): exact median over points of the distance to the nearest other point; 1.0 for single points."""
-    near = nearest(points, 1).groupBy("cloud").agg(F.median("w").alias("_p"))
+    near = exact_median(nearest(points, 1), "w", "_p")
     return points.select("cloud").distinct().join(near, "cloud", "left").select("cloud", F.coalesce("_p", F.lit(1.0)).alias("pitch"))
 
 

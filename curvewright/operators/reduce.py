@@ -6,6 +6,8 @@ contract independently, so each is solved as one group.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,10 +61,11 @@ def anchor_weights(nodes: DataFrame, edges: DataFrame, gain: float) -> DataFrame
     return nodes.select("cloud", "id").join(scored, ["cloud", "id"], "left").select("cloud", "id", (1 + gain * F.coalesce("_s", F.lit(1.0))).alias("anchor"))
 
 
-def contraction_frames(nodes: DataFrame, edges: DataFrame, cfg: ReduceConfig) -> DataFrame:
-    """(cloud, frame, id, x, y, z): all iterates of the contraction; frame 0 is the input. Clouds below 3 points stay.
+def contraction_frames(nodes: DataFrame, edges: DataFrame, cfg: ReduceConfig, wanted: Collection[int] | None = None) -> DataFrame:
+    """(cloud, frame, id, x, y, z): iterates of the contraction; frame 0 is the input. Clouds below 3 points stay.
 
-    ``edges`` is the contraction graph. The iterates come from one grouped solve per component.
+    ``edges`` is the contraction graph. The iterates come from one grouped solve per component, which returns the
+    ``wanted`` frames only (all for None).
     """
     edges = edges.select("cloud", "src", "dst")
     n = nodes.groupBy("cloud").agg(F.count("*").alias("n"))
@@ -87,15 +90,16 @@ def contraction_frames(nodes: DataFrame, edges: DataFrame, cfg: ReduceConfig) ->
         steps = iterations if part["n"].iloc[0] >= 3 else 0
         frames = contract(places, left, right, wh * part["anchor"].to_numpy(), part["wl"].iloc[0], growth, steps)
         frames += [frames[-1]] * (iterations - steps)
-        out = pd.DataFrame(np.concatenate(frames), columns=list(AXES))
-        return out.assign(cloud=part["cloud"].iloc[0], frame=np.repeat(np.arange(len(frames)), len(ids)), id=np.tile(ids, len(frames)))[["cloud", "frame", "id", *AXES]]
+        kept = [k for k in range(len(frames)) if wanted is None or k in wanted]
+        out = pd.DataFrame(np.concatenate([frames[k] for k in kept]), columns=list(AXES))
+        return out.assign(cloud=part["cloud"].iloc[0], frame=np.repeat(kept, len(ids)), id=np.tile(ids, len(kept)))[["cloud", "frame", "id", *AXES]]
 
     return rows.groupBy("cloud", "root").applyInPandas(solve, f"cloud {kind}, frame int, id long, x double, y double, z double")
 
 
 def contract_points(nodes: DataFrame, edges: DataFrame, cfg: ReduceConfig) -> DataFrame:
     """The last iterate: (cloud, id, x, y, z)."""
-    return contraction_frames(nodes, edges, cfg).where(F.col("frame") == int(cfg.contraction_iterations)).drop("frame")
+    return contraction_frames(nodes, edges, cfg, [int(cfg.contraction_iterations)]).drop("frame")
 
 
 def collapsing_edges(contracted: DataFrame, edges: DataFrame, merge_factor: float) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.geometry import AXES
 from ..functions.lineage import settle
 from .components import connected_components
 from .neighbors import both_ways
+from .order import numbered
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -27,9 +28,10 @@ def node_kinds(degree: DataFrame) -> DataFrame:
 
 def branch_points(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     """(cloud, branch_id, node_id, x, y, z): nodes of degree 3 and more, numbered by id within the cloud."""
-    number = (F.row_number().over(Window.partitionBy("cloud").orderBy("id")) - 1).alias("branch_id")
-    picked = degree.where("degree >= 3").select("cloud", number, F.col("id").alias("node_id"))
-    return picked.join(nodes.select("cloud", F.col("id").alias("node_id"), *[c for c in AXES if c in nodes.columns]), ["cloud", "node_id"]).select("cloud", "branch_id", "node_id", *[c for c in AXES if c in nodes.columns])
+    axes = [c for c in AXES if c in nodes.columns]
+    picked = numbered(degree.where("degree >= 3").select("cloud", F.col("id").alias("node_id")), "node_id", ["node_id"], "branch_id")
+    placed = picked.join(nodes.select("cloud", F.col("id").alias("node_id"), *axes), ["cloud", "node_id"])
+    return placed.select("cloud", F.col("branch_id").cast("int").alias("branch_id"), "node_id", *axes)
 
 
 def tips(degree: DataFrame) -> DataFrame:
@@ -95,13 +97,22 @@ def segments(nodes: DataFrame, edges: DataFrame, degree: DataFrame | None = None
         F.when(~ends_none, F.element_at("points", -1)).alias("end_node_b"),
         ((F.size("points") > 1) & (F.element_at("points", 1) == F.element_at("points", -1))).alias("closed"),
     )
-    number = (F.row_number().over(Window.partitionBy("cloud").orderBy("id")) - 1).cast("int")
-    branch = degree.where("degree >= 3").select("cloud", "id", number.alias("_b"))
+    branch = settle(numbered(degree.where("degree >= 3").select("cloud", "id"), "id", ["id"], "_branch"))
     for side in ("a", "b"):
-        rows = rows.join(branch.select("cloud", F.col("id").alias(f"end_node_{side}"), F.col("_b").alias(f"end_{side}")), ["cloud", f"end_node_{side}"], "left")
-    order = Window.partitionBy("cloud").orderBy("class", F.element_at("points", 1), F.when(F.size("points") > 1, F.element_at("points", 2)), "points")
+        rows = rows.join(branch.select("cloud", F.col("id").alias(f"end_node_{side}"), F.col("_branch").cast("int").alias(f"end_{side}")), ["cloud", f"end_node_{side}"], "left")
+    rows = settle(rows)
+    # Anchored chains come first, then loops, then isolates: each class is numbered by its first nodes.
+    first = F.element_at("points", 1)
+    second = F.when(F.size("points") > 1, F.element_at("points", 2))
+    rows = rows.withColumn("_first", first).withColumnRenamed("cloud", "_cloud").withColumn("cloud", F.struct("_cloud", "class"))
+    rows = numbered(rows, "_first", ["_first", second, "points"], "_number").withColumn("cloud", F.col("_cloud"))
+    sizes = rows.groupBy("cloud", "class").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy("cloud").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_past", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    rows = rows.join(sizes.select("cloud", "class", "_past"), ["cloud", "class"])
     distinct_ends = F.size(F.array_distinct(F.array_compact(F.array("end_a", "end_b")))).cast("int")
-    return rows.withColumn("seg_id", (F.row_number().over(order) - 1).cast("int")).withColumn("n_branch_ends", distinct_ends).withColumn("n_points", F.size("points").cast("int")).select(*SEGMENT_COLUMNS)
+    rows = rows.withColumn("seg_id", (F.col("_number") + F.col("_past")).cast("int"))
+    return rows.withColumn("n_branch_ends", distinct_ends).withColumn("n_points", F.size("points").cast("int")).select(*SEGMENT_COLUMNS)
 
 
 def summary(nodes: DataFrame, degree: DataFrame, segs: DataFrame) -> DataFrame:
