@@ -73,13 +73,15 @@ def _extract(points: DataFrame, cfg: Config, mode: str, keep: bool, max_frames:
     membership = None
     if mode == "collapse":
         graph = settle(reduce.contraction_graph(points, cfg.reduce))
-        frames = settle(reduce.contraction_frames(points, graph, cfg.reduce))
-        contracted = frames.where(F.col("frame") == int(cfg.reduce.contraction_iterations)).drop("frame")
+        last = int(cfg.reduce.contraction_iterations)
+        shown = frame_numbers(last, max_frames) if max_frames else []
+        frames = settle(reduce.contraction_frames(points, graph, cfg.reduce, {last, *shown}))
+        contracted = frames.where(F.col("frame") == last).drop("frame")
         nodes, edges, membership = reduce.edge_collapse(contracted, graph, cfg.reduce.merge_factor, points)
         nodes, edges = settle(nodes), settle(neighbors.with_lengths(edges, nodes))
         stages |= {"contraction_graph": graph, "contracted": contracted, "skeleton_points": nodes, "skeleton_edges": edges}
         if max_frames:
-            stages["contraction_frames"] = frames.where(F.col("frame").isin(frame_numbers(cfg.reduce.contraction_iterations, max_frames)))
+            stages["contraction_frames"] = frames.where(F.col("frame").isin(shown))
     else:
         nodes, edges = points, settle(neighbors.build_edges(points, cfg.neighbors))
         stages["adjacency_edges"] = edges
@@ -115,16 +117,19 @@ def trace(points: DataFrame, config: Config | None = None, animate: bool = False
     }
 
 
-def rounded_points(nodes: DataFrame, digits: int = 4) -> DataFrame:
-    """(cloud, id, point): coordinates as an array, rounded half to even."""
-    return nodes.select("cloud", "id", F.array(*[F.bround(c, digits) for c in AXES]).alias("point"))
+#: Digits of the coordinates in a trace that is written out, rounded half to even.
+POINT_DIGITS = 4
 
 
 def trace_json(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """(stage, cloud, json): one row per row of every stage, as JSON."""
+    """(stage, cloud, json): one row per row of every stage, as JSON; coordinates as one rounded point."""
     out = None
     for name, df in stages.items():
-        row = df.select(F.lit(name).alias("stage"), F.col("cloud").cast("string").alias("cloud"), F.to_json(F.struct(*[c for c in df.columns if c != "cloud"])).alias("json"))
+        columns = [c for c in df.columns if c not in ("cloud", *AXES)]
+        if set(AXES) <= set(df.columns):
+            df = df.withColumn("point", F.array(*[F.bround(c, POINT_DIGITS) for c in AXES]))
+            columns.append("point")
+        row = df.select(F.lit(name).alias("stage"), F.col("cloud").cast("string").alias("cloud"), F.to_json(F.struct(*columns)).alias("json"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -140,6 +145,8 @@ def run_pipeline(spark: SparkSession, request: Mapping[str, Any]) -> dict[str, A
 def associate(points: DataFrame, found: Topology) -> DataFrame:
     """Nearest segment hop of every point: seg_id, idx, t in [0, 1], d_perp, foot arclength along the segment.
 
+    Distances that agree to nine digits are ties; the least seg_id and idx is taken.
+
     Points meet the hops of their own cloud through an equi-join on it, folded at once into a least row per point.
     """
     hops = topology.segment_edges(found.segments)
@@ -154,5 +161,5 @@ def associate(points: DataFrame, found: Topology) -> DataFrame:
     t = F.when(F.col("len") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (F.col("len") * F.col("len"))))).otherwise(0.0)
     pairs = pairs.withColumn("t", t)
     off = sum(((F.col(c) - F.col(f"a{c}") - F.col("t") * (F.col(f"b{c}") - F.col(f"a{c}"))) ** 2 for c in AXES), F.lit(0.0))
-    best = F.min(F.struct(F.sqrt(off).alias("d_perp"), "seg_id", "idx", "t", (F.col("cum") + F.col("t") * F.col("len")).alias("foot_arclength"))).alias("h")
+    best = F.min(F.struct(F.round(F.sqrt(off), 9).alias("_near"), "seg_id", "idx", "t", F.sqrt(off).alias("d_perp"), (F.col("cum") + F.col("t") * F.col("len")).alias("foot_arclength"))).alias("h")
     return pairs.groupBy("cloud", "id").agg(best).select("cloud", "id", "h.seg_id", "h.idx", "h.t", "h.d_perp", "h.foot_arclength")
