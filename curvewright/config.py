@@ -80,7 +80,8 @@ def build_config(flat: Mapping[str, Any] | None) -> Config:
     return Config(**{k: cls(**made[k]) for k, cls in known.items()}, **top)
 
 
-def _number(name: str, default: float, low: float, high: float, step: float, label: str) -> dict[str, Any]:
+def parameter(name: str, default: float, low: float, high: float, step: float, label: str) -> dict[str, Any]:
+    """A descriptor; whole numbers throughout make it an integer."""
     kind = "int" if all(isinstance(v, int) for v in (default, low, high, step)) else "float"
     return {"name": name, "type": kind, "default": default, "min": low, "max": high, "step": step, "label": label}
 
@@ -90,20 +91,20 @@ def config_schema() -> list[dict[str, Any]]:
     return [
         {"group": "Reduction", "params": [
             {"name": "reduce.mode", "type": "enum", "default": "none", "options": list(MODES), "label": "Mode"},
-            _number("reduce.scale", 0.0, 0.0, 5.0, 0.05, "Scale (0: automatic)"),
-            _number("reduce.contraction_iterations", 10, 0, 30, 1, "Contraction iterations"),
-            _number("reduce.contraction_neighbor_factor", 2.5, 1.0, 5.0, 0.1, "Contraction radius factor"),
-            _number("reduce.merge_factor", 0.5, 0.1, 1.0, 0.05, "Edge collapse factor"),
-            _number("reduce.boundary_anchor", 8.0, 0.0, 20.0, 1.0, "Boundary anchor (0: off)"),
+            parameter("reduce.scale", 0.0, 0.0, 5.0, 0.05, "Scale (0: automatic)"),
+            parameter("reduce.contraction_iterations", 10, 0, 30, 1, "Contraction iterations"),
+            parameter("reduce.contraction_neighbor_factor", 2.5, 1.0, 5.0, 0.1, "Contraction radius factor"),
+            parameter("reduce.merge_factor", 0.5, 0.1, 1.0, 0.05, "Edge collapse factor"),
+            parameter("reduce.boundary_anchor", 8.0, 0.0, 20.0, 1.0, "Boundary anchor (0: off)"),
         ]},
         {"group": "Adjacency", "params": [
             {"name": "neighbors.method", "type": "enum", "default": "radius", "options": list(METHODS), "label": "Method"},
-            _number("neighbors.radius_factor", 1.6, 1.0, 3.0, 0.05, "Radius factor"),
-            _number("neighbors.k", 10, 2, 20, 1, "k (knn, mst)"),
+            parameter("neighbors.radius_factor", 1.6, 1.0, 3.0, 0.05, "Radius factor"),
+            parameter("neighbors.k", 10, 2, 20, 1, "k (knn, mst)"),
             {"name": "neighbors.prune_shortcuts", "type": "bool", "default": True, "label": "Prune shortcut edges"},
         ]},
         {"group": "Cleanup", "params": [
-            _number("junction_merge_factor", 2.0, 0.0, 5.0, 0.25, "Junction merge factor (0: off)"),
-            _number("min_stub_points", 0, 0, 20, 1, "Prune stubs shorter than (0: off)"),
+            parameter("junction_merge_factor", 2.0, 0.0, 5.0, 0.25, "Junction merge factor (0: off)"),
+            parameter("min_stub_points", 0, 0, 20, 1, "Prune stubs shorter than (0: off)"),
         ]},
     ]

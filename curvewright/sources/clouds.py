@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, frame, tube_point
+from ..config import parameter
+from ..functions.geometry import AXES, frame, frame_columns, tube_point
 
 _ARMS = [(math.cos(a), math.sin(a), 0.0) for a in (0.0, 2 * math.pi / 3, 4 * math.pi / 3)]
 
@@ -111,8 +112,13 @@ def tubes(spark: SparkSession, rows: list[dict[str, Any]], noise: float = 0.0, s
         made.append((first, int(r["n_axial"]), int(r["n_circ"]), float(r.get("start", 0.0)), float(r["length"]), float(r["radius"]), *map(float, (*d, *u, *v, *origin))))
         first += int(r["n_axial"]) * int(r["n_circ"])
     vectors = ", ".join(f"{n}{c} double" for n in "duvo" for c in AXES)
-    table = spark.createDataFrame(made, f"first long, n_axial long, n_circ long, start double, length double, radius double, {vectors}")
-    rings = table.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_axial") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_circ") - 1)))
+    return _surfaces(spark.createDataFrame(made, f"first long, n_axial long, n_circ long, start double, length double, radius double, {vectors}"), noise, seed)
+
+
+def _surfaces(table: DataFrame, noise: float, seed: int) -> DataFrame:
+    """Points of tubes given by rows: first (point number), n_axial, n_circ, start, length, radius, frame and origin."""
+    rings = table.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_axial") - 1)))
+    rings = rings.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_circ") - 1)))
     t = F.col("start") + F.col("i") * ((F.col("length") - F.col("start")) / (F.col("n_axial") - 1))
     angle = F.col("j") * (2 * math.pi / F.col("n_circ"))
     vec = lambda n: [F.col(f"{n}{c}") for c in AXES]
@@ -142,40 +148,55 @@ def torus(spark: SparkSession, major_radius: float = 5.0, minor_radius: float =
     return _points(spark.range(n_major * n_minor), F.col("id"), [reach * F.cos(u), reach * F.sin(u), minor_radius * F.sin(v)], noise, seed)
 
 
-def tree_limbs(depth: int, branch: int, trunk_length: float, radius: float, length_decay: float, radius_decay: float, spread: float, pitch: float, seed: int) -> list[dict[str, Any]]:
-    """The tubes of a tree, a trunk first, each before its children; angles and lengths vary with the seed."""
-    rng, limbs = np.random.default_rng(int(seed)), []
-    tilt_by = math.radians(spread)
-
-    def limb(origin: np.ndarray, axis: np.ndarray, length: float, rad: float) -> dict[str, Any]:
-        axis = axis / np.linalg.norm(axis)
-        made = {"axis": tuple(axis), "origin": tuple(origin), "length": length, "radius": rad, "n_axial": max(2, round(length / pitch)) + 1, "n_circ": max(6, round(2 * math.pi * rad / pitch))}
-        limbs.append(made)
-        return made
-
-    def children(parent: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        d, u, v = (np.array(c) for c in frame(parent["axis"]))
-        end = np.array(parent["origin"]) + d * parent["length"]
-        for k in range(branch):
-            turn = 2 * math.pi * k / branch + rng.uniform(-0.4, 0.4)
-            tilt = tilt_by * (0.7 + 0.6 * rng.random())
-            axis = math.cos(tilt) * d + math.sin(tilt) * (math.cos(turn) * u + math.sin(turn) * v)
-            yield limb(end, axis, parent["length"] * length_decay * (0.85 + 0.3 * rng.random()), parent["radius"] * radius_decay)
-
-    open_levels = [children(limb(np.zeros(3), np.array([0.0, 0.0, 1.0]), trunk_length, radius))] if depth > 1 else []
-    if not open_levels:
-        limb(np.zeros(3), np.array([0.0, 0.0, 1.0]), trunk_length, radius)
-    while open_levels:
-        new = next(open_levels[-1], None)
-        if new is None:
-            open_levels.pop()
-        elif len(open_levels) + 1 < depth:
-            open_levels.append(children(new))
+#: How a tree's limbs vary (fixed values): the most that a child turns from its even place around the parent, in
+#: radians; least and greatest share of the spread that it tilts by, and of the decayed length that it has.
+TURN, TILT, STRETCH = 0.4, (0.7, 1.3), (0.85, 1.15)
+
+
+def tree_limbs(spark: SparkSession, depth: int, branch: int, trunk_length: float, radius: float, length_decay: float, radius_decay: float, spread: float, seed: int) -> DataFrame:
+    """The limbs of a tree, one row each: level, name, length, radius, frame (d, u, v) and origin (o).
+
+    Each level of limbs is one step from the level below: a limb has ``branch`` children at its end. What varies is
+    drawn from a hash of the seed and the limb's name, so it does not depend on how rows are dealt.
+    """
+
+    def draw(what: str, low: float, high: float) -> Column:
+        share = F.pmod(F.xxhash64(F.lit(int(seed)), "name", F.lit(what)), F.lit(1 << 53)) / float(1 << 53)
+        return low + (high - low) * share
+
+    def named(vectors: dict[str, list[Column]]) -> list[Column]:
+        return [c.cast("double").alias(f"{n}{x}") for n, v in vectors.items() for c, x in zip(v, AXES, strict=True)]
+
+    d, u, v = frame((0.0, 0.0, 1.0))
+    lit = lambda xs: [F.lit(float(x)) for x in xs]
+    trunk = named({"d": lit(d), "u": lit(u), "v": lit(v), "o": lit((0, 0, 0))})
+    level = spark.range(1).select(F.lit(1).alias("level"), F.lit("").alias("name"), F.lit(float(trunk_length)).alias("length"), F.lit(float(radius)).alias("radius"), *trunk)
+    limbs = level
+    for n in range(2, int(depth) + 1):
+        child = level.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(int(branch) - 1))))
+        child = child.withColumn("name", F.concat("name", F.col("k").cast("string")))
+        child = child.withColumn("turn", F.col("k") * (2 * math.pi / branch) + draw("turn", -TURN, TURN)).withColumn("tilt", math.radians(spread) * draw("tilt", *TILT))
+        axis = [F.cos("tilt") * F.col(f"d{c}") + F.sin("tilt") * (F.cos("turn") * F.col(f"u{c}") + F.sin("turn") * F.col(f"v{c}")) for c in AXES]
+        end = [F.col(f"o{c}") + F.col(f"d{c}") * F.col("length") for c in AXES]
+        grown = child.select("name", "length", "radius", *[a.alias(f"a{c}") for a, c in zip(axis, AXES, strict=True)], *[e.alias(f"o{c}") for e, c in zip(end, AXES, strict=True)])
+        d, u, v = frame_columns([F.col(f"a{c}") for c in AXES])
+        level = grown.select(
+            F.lit(n).alias("level"), "name", (F.col("length") * float(length_decay) * draw("length", *STRETCH)).alias("length"),
+            (F.col("radius") * float(radius_decay)).alias("radius"), *named({"d": d, "u": u, "v": v, "o": [F.col(f"o{c}") for c in AXES]}),
+        )
+        limbs = limbs.unionByName(level)
     return limbs
 
 
 def tree(spark: SparkSession, depth: int = 4, branch: int = 2, trunk_length: float = 5.0, radius: float = 0.5, length_decay: float = 0.72, radius_decay: float = 0.72, spread: float = 35.0, pitch: float = 0.3, noise: float = 0.0, seed: int = 0) -> DataFrame:
-    return tubes(spark, tree_limbs(depth, branch, trunk_length, radius, length_decay, radius_decay, spread, pitch, seed), noise, seed)
+    """Tubes of a tree, rings and points on rings about a pitch apart."""
+    limbs = tree_limbs(spark, depth, branch, trunk_length, radius, length_decay, radius_decay, spread, seed)
+    rings = F.greatest(F.lit(2.0), F.bround(F.col("length") / pitch)).cast("long") + 1
+    around = F.greatest(F.lit(6.0), F.bround(2 * math.pi * F.col("radius") / pitch)).cast("long")
+    table = limbs.withColumn("n_axial", rings).withColumn("n_circ", around).withColumn("start", F.lit(0.0))
+    size = F.col("n_axial") * F.col("n_circ")  # a few hundred limbs are numbered
+    before = F.sum(size).over(Window.orderBy("level", "name").rowsBetween(Window.unboundedPreceding, 0)) - size
+    return _surfaces(table.withColumn("first", before), noise, seed)
 
 
 def densify(vertices: DataFrame, per_unit: float = 6.0) -> DataFrame:
@@ -191,27 +212,22 @@ def densify(vertices: DataFrame, per_unit: float = 6.0) -> DataFrame:
     return starts.unionByName(inner).select("line", rank.alias("pos"), *AXES)
 
 
-def _param(name: str, default: float, low: float, high: float, step: float, label: str) -> dict[str, Any]:
-    kind = "int" if all(isinstance(v, int) for v in (default, low, high, step)) else "float"
-    return {"name": name, "type": kind, "default": default, "min": low, "max": high, "step": step, "label": label}
-
-
-_COMMON = [_param("noise", 0.0, 0.0, 0.5, 0.01, "Noise"), _param("seed", 0, 0, 999, 1, "Seed")]
-_ARM = [_param("radius", 0.6, 0.2, 2.0, 0.1, "Radius"), _param("arm_length", 6.0, 3.0, 15.0, 0.5, "Arm length"), _param("n_axial", 14, 5, 30, 1, "Rings"), _param("n_circ", 12, 6, 30, 1, "Points a ring")]
+_COMMON = [parameter("noise", 0.0, 0.0, 0.5, 0.01, "Noise"), parameter("seed", 0, 0, 999, 1, "Seed")]
+_ARM = [parameter("radius", 0.6, 0.2, 2.0, 0.1, "Radius"), parameter("arm_length", 6.0, 3.0, 15.0, 0.5, "Arm length"), parameter("n_axial", 14, 5, 30, 1, "Rings"), parameter("n_circ", 12, 6, 30, 1, "Points a ring")]
 _NONE, _COLLAPSE, _WIDE = {"reduce.mode": "none"}, {"reduce.mode": "collapse"}, {"reduce.mode": "collapse", "neighbors.radius_factor": 1.8}
 #: Parameter ranges and recommended settings (fixed values): key, generator, category, settings, parameters.
 _REGISTRY: list[tuple[str, Callable[..., DataFrame], str, dict, list]] = [
-    ("open_chain", open_chain, "skeleton", _NONE, [_param("n", 25, 4, 200, 1, "Points"), _param("length", 12.0, 2.0, 30.0, 0.5, "Length"), _param("curl", 2.0, 0.0, 6.0, 0.1, "Curl")]),
-    ("loop", loop, "skeleton", {**_NONE, "neighbors.method": "radius"}, [_param("n", 40, 8, 300, 1, "Points"), _param("radius", 4.0, 1.0, 10.0, 0.5, "Radius"), _param("tilt", 0.3, 0.0, 1.0, 0.05, "Tilt")]),
-    ("y_junction", y_junction, "skeleton", _NONE, [_param("n_per_arm", 6, 2, 40, 1, "Points an arm"), _param("arm_length", 6.0, 2.0, 20.0, 0.5, "Arm length")]),
-    ("h_network", h_network, "skeleton", _NONE, [_param("bridge", 4.0, 1.0, 12.0, 0.5, "Bridge"), _param("arm_length", 3.0, 1.0, 10.0, 0.5, "Arm length"), _param("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
-    ("lollipop", lollipop, "skeleton", _NONE, [_param("stub_length", 4.0, 1.0, 10.0, 0.5, "Stub"), _param("radius", 2.0, 0.5, 6.0, 0.25, "Radius"), _param("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
-    ("grid", grid, "skeleton", {**_NONE, "junction_merge_factor": 2.0}, [_param("nx", 4, 2, 8, 1, "Columns"), _param("ny", 3, 2, 8, 1, "Rows"), _param("spacing", 4.0, 1.0, 8.0, 0.5, "Spacing"), _param("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
-    ("cylinder", cylinder, "tubiform", _WIDE, [_param("radius", 1.0, 0.3, 3.0, 0.1, "Radius"), _param("length", 10.0, 3.0, 25.0, 0.5, "Length"), _param("n_axial", 20, 5, 40, 1, "Rings"), _param("n_circ", 16, 6, 40, 1, "Points a ring")]),
+    ("open_chain", open_chain, "skeleton", _NONE, [parameter("n", 25, 4, 200, 1, "Points"), parameter("length", 12.0, 2.0, 30.0, 0.5, "Length"), parameter("curl", 2.0, 0.0, 6.0, 0.1, "Curl")]),
+    ("loop", loop, "skeleton", {**_NONE, "neighbors.method": "radius"}, [parameter("n", 40, 8, 300, 1, "Points"), parameter("radius", 4.0, 1.0, 10.0, 0.5, "Radius"), parameter("tilt", 0.3, 0.0, 1.0, 0.05, "Tilt")]),
+    ("y_junction", y_junction, "skeleton", _NONE, [parameter("n_per_arm", 6, 2, 40, 1, "Points an arm"), parameter("arm_length", 6.0, 2.0, 20.0, 0.5, "Arm length")]),
+    ("h_network", h_network, "skeleton", _NONE, [parameter("bridge", 4.0, 1.0, 12.0, 0.5, "Bridge"), parameter("arm_length", 3.0, 1.0, 10.0, 0.5, "Arm length"), parameter("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
+    ("lollipop", lollipop, "skeleton", _NONE, [parameter("stub_length", 4.0, 1.0, 10.0, 0.5, "Stub"), parameter("radius", 2.0, 0.5, 6.0, 0.25, "Radius"), parameter("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
+    ("grid", grid, "skeleton", {**_NONE, "junction_merge_factor": 2.0}, [parameter("nx", 4, 2, 8, 1, "Columns"), parameter("ny", 3, 2, 8, 1, "Rows"), parameter("spacing", 4.0, 1.0, 8.0, 0.5, "Spacing"), parameter("pitch", 0.5, 0.2, 1.5, 0.05, "Pitch")]),
+    ("cylinder", cylinder, "tubiform", _WIDE, [parameter("radius", 1.0, 0.3, 3.0, 0.1, "Radius"), parameter("length", 10.0, 3.0, 25.0, 0.5, "Length"), parameter("n_axial", 20, 5, 40, 1, "Rings"), parameter("n_circ", 16, 6, 40, 1, "Points a ring")]),
     ("y_tube", y_tube, "tubiform", _COLLAPSE, _ARM),
     ("cross_tube", cross_tube, "tubiform", _COLLAPSE, _ARM),
-    ("torus", torus, "tubiform", _WIDE, [_param("major_radius", 5.0, 2.0, 10.0, 0.5, "Ring radius"), _param("minor_radius", 1.0, 0.3, 3.0, 0.1, "Tube radius"), _param("n_major", 32, 8, 60, 1, "Around the ring"), _param("n_minor", 12, 6, 30, 1, "Around the tube")]),
-    ("tree", tree, "tubiform", _WIDE, [_param("depth", 4, 3, 5, 1, "Generations"), _param("branch", 2, 2, 3, 1, "Children"), _param("trunk_length", 5.0, 2.0, 10.0, 0.5, "Trunk"), _param("radius", 0.5, 0.2, 1.5, 0.05, "Trunk radius"), _param("length_decay", 0.72, 0.4, 0.95, 0.02, "Length decay"), _param("radius_decay", 0.72, 0.4, 0.95, 0.02, "Radius decay"), _param("spread", 35.0, 10.0, 70.0, 2.5, "Spread in degrees"), _param("pitch", 0.3, 0.15, 0.6, 0.05, "Pitch")]),
+    ("torus", torus, "tubiform", _WIDE, [parameter("major_radius", 5.0, 2.0, 10.0, 0.5, "Ring radius"), parameter("minor_radius", 1.0, 0.3, 3.0, 0.1, "Tube radius"), parameter("n_major", 32, 8, 60, 1, "Around the ring"), parameter("n_minor", 12, 6, 30, 1, "Around the tube")]),
+    ("tree", tree, "tubiform", _WIDE, [parameter("depth", 4, 3, 5, 1, "Generations"), parameter("branch", 2, 2, 3, 1, "Children"), parameter("trunk_length", 5.0, 2.0, 10.0, 0.5, "Trunk"), parameter("radius", 0.5, 0.2, 1.5, 0.05, "Trunk radius"), parameter("length_decay", 0.72, 0.4, 0.95, 0.02, "Length decay"), parameter("radius_decay", 0.72, 0.4, 0.95, 0.02, "Radius decay"), parameter("spread", 35.0, 10.0, 70.0, 2.5, "Spread in degrees"), parameter("pitch", 0.3, 0.15, 0.6, 0.05, "Pitch")]),
 ]
 DATASETS = {key: {"fn": fn, "category": category, "recommended_config": settings, "params": [*params, *_COMMON]} for key, fn, category, settings, params in _REGISTRY}
 
@@ -222,35 +238,58 @@ def dataset_schema() -> list[dict[str, Any]]:
 
 
 def generate(spark: SparkSession, key: str, params: Mapping[str, Any] | None = None) -> tuple[DataFrame, dict[str, Any]]:
-    """A named cloud and its description. Missing parameters take defaults, unknown ones are dropped."""
+    """A named cloud and its description. Missing parameters take defaults, unknown ones are dropped.
+
+    ``label`` is that of all its points: 0 for curve-like, 1 for surface-like ones.
+    """
     if key not in DATASETS:
         raise KeyError(f"unknown dataset {key!r}")
     spec = DATASETS[key]
     values = {p["name"]: p["default"] for p in spec["params"]}
     values |= {k: v for k, v in (params or {}).items() if k in values}
     values = {p["name"]: (int if p["type"] == "int" else float)(values[p["name"]]) for p in spec["params"]}
-    return spec["fn"](spark, **values), {"category": spec["category"], "dataset": key, "params": values, "truth": truth(key, values)}
+    return spec["fn"](spark, **values), {"category": spec["category"], "dataset": key, "params": values, "label": int(spec["category"] == "tubiform"), "truth": truth(spark, key, values)}
 
 
-def truth(key: str, p: Mapping[str, Any]) -> dict[str, Any]:
-    """Where the branch points of a generated cloud are, and the straight parts of its centre line."""
+def truth(spark: SparkSession, key: str, p: Mapping[str, Any]) -> dict[str, Any]:
+    """Where the branch points of a generated cloud are, and its centre lines as polylines."""
     origin = [0.0, 0.0, 0.0]
     star = lambda axes, reach: [[origin, [reach * c for c in a]] for a in axes]
+
+    def ring(n: int, place: Callable[[float], list[float]]) -> list[list[float]]:
+        return [place(2 * math.pi * (i % n) / n) for i in range(n + 1)]
+
+    if key == "open_chain":
+        steps = 4 * max(1, int(p["length"]))
+        at = [p["length"] * i / steps for i in range(steps + 1)]
+        return {"branch_points": [], "polylines": [[[t, p["curl"] * math.sin(math.pi * t / p["length"]), 0.0] for t in at]]}
+    if key == "loop":
+        r, tilt = p["radius"], p["tilt"]
+        return {"branch_points": [], "polylines": [ring(p["n"], lambda a: [r * math.cos(a), r * math.sin(a), tilt * r * math.sin(a)])]}
+    if key == "torus":
+        r = p["major_radius"]
+        return {"branch_points": [], "polylines": [ring(64, lambda a: [r * math.cos(a), r * math.sin(a), 0.0])]}
     if key in ("y_junction", "y_tube"):
         return {"branch_points": [origin], "polylines": star(_ARMS, p["arm_length"])}
     if key == "cross_tube":
         return {"branch_points": [origin], "polylines": star([(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)], p["arm_length"])}
     if key == "h_network":
         ends = [[-p["bridge"] / 2, 0.0, 0.0], [p["bridge"] / 2, 0.0, 0.0]]
-        return {"branch_points": ends, "polylines": [ends]}
+        arms = [[e, [e[0] + math.copysign(0.6, e[0]) * p["arm_length"], t * 0.8 * p["arm_length"], 0.0]] for e in ends for t in (1, -1)]
+        return {"branch_points": ends, "polylines": [ends, *arms]}
     if key == "lollipop":
-        return {"branch_points": [origin], "polylines": [[[-p["stub_length"], 0.0, 0.0], origin]]}
+        r, m = p["radius"], max(8, round(2 * math.pi * p["radius"] / p["pitch"]))
+        return {"branch_points": [origin], "polylines": [[[-p["stub_length"], 0.0, 0.0], origin], ring(m, lambda a: [r - r * math.cos(a), r * math.sin(a), 0.0])]}
     if key == "grid":
-        return {"branch_points": [[i * p["spacing"], j * p["spacing"], 0.0] for i in range(p["nx"]) for j in range(p["ny"])], "polylines": []}
+        wide, high = (p["nx"] - 1) * p["spacing"], (p["ny"] - 1) * p["spacing"]
+        xs, ys = [i * p["spacing"] for i in range(p["nx"])], [j * p["spacing"] for j in range(p["ny"])]
+        lines = [[[0.0, y, 0.0], [wide, y, 0.0]] for y in ys] + [[[x, 0.0, 0.0], [x, high, 0.0]] for x in xs]
+        return {"branch_points": [[x, y, 0.0] for x in xs for y in ys], "polylines": lines}
     if key == "cylinder":
         return {"branch_points": [], "polylines": [[origin, [0.0, 0.0, p["length"]]]]}
-    if key == "tree":
-        limbs = tree_limbs(*[p[n] for n in ("depth", "branch", "trunk_length", "radius", "length_decay", "radius_decay", "spread", "pitch", "seed")])
-        lines = [[[float(c) for c in m["origin"]], [float(o + d * m["length"]) for o, d in zip(m["origin"], m["axis"], strict=True)]] for m in limbs]
-        return {"branch_points": sorted({tuple(a) for a, _ in lines} - {tuple(origin)}), "polylines": lines}
-    return {"branch_points": [], "polylines": []}
+    limbs = tree_limbs(spark, *[p[n] for n in ("depth", "branch", "trunk_length", "radius", "length_decay", "radius_decay", "spread", "seed")])
+    lines = []
+    for m in limbs.orderBy("level", "name").collect():
+        start = [m[f"o{c}"] for c in AXES]
+        lines.append((m["level"], [start, [o + m[f"d{c}"] * m["length"] for o, c in zip(start, AXES, strict=True)]]))
+    return {"branch_points": [line[1] for level, line in lines if level < p["depth"]], "polylines": [line for _, line in lines]}
