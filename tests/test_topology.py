@@ -1,16 +1,18 @@
 """Hand-built graphs and small clouds with known topology."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvewright import Config, NeighborConfig, ReduceConfig, extract, extract_topology, from_array, generate
+from curvewright import Config, NeighborConfig, ReduceConfig, extract, extract_topology, from_array, generate, run_pipeline, trace
 from curvewright.config import build_config, clean_config, config_schema
 from curvewright.functions.kernels import contract
 from curvewright.functions.lineage import settle
-from curvewright.operators import cleanup, neighbors, topology
+from curvewright.operators import cleanup, neighbors, order, reduce, topology
 from curvewright.operators.components import connected_components
-from curvewright.plans.pipeline import frame_numbers
+from curvewright.plans.pipeline import frame_numbers, trace_json
 from curvewright.sources.clouds import DATASETS, dataset_schema
 
 
@@ -24,21 +26,32 @@ def rows(found):
     return [(r.points, r.closed, r.n_branch_ends) for r in found.segments.orderBy("seg_id").collect()]
 
 
-@pytest.mark.parametrize(
-    ("edges", "extra", "branch", "want"),
-    [
-        ([(0, 1), (1, 2), (2, 3), (3, 4)], (), 0, [([0, 1, 2, 3, 4], False, 0)]),
-        ([(0, 1), (1, 2), (0, 3), (3, 4), (0, 5), (5, 6)], (), 1, [([0, 1, 2], False, 1), ([0, 3, 4], False, 1), ([0, 5, 6], False, 1)]),
-        ([(0, 1), (0, 2), (0, 6), (6, 7), (7, 3), (3, 4), (3, 5)], (), 2, [([0, 1], False, 1), ([0, 2], False, 1), ([0, 6, 7, 3], False, 2), ([3, 4], False, 1), ([3, 5], False, 1)]),
-        ([(0, 1), (1, 2), (2, 3), (3, 0)], (), 0, [([0, 1, 2, 3, 0], True, 0)]),
-        ([(0, 1), (0, 2), (2, 3), (3, 4), (4, 0)], (), 1, [([0, 1], False, 1), ([0, 2, 3, 4, 0], True, 1)]),
-        ([(0, 1), (1, 2)], (9,), 0, [([0, 1, 2], False, 0), ([9], False, 0)]),
-    ],
-)
-def test_hand_built_graphs(spark, edges, extra, branch, want):
-    found = graph(spark, edges, extra)
-    assert found.branch_points.count() == branch
-    assert rows(found) == want
+#: A path with ids out of order, a star of four, a caterpillar, a ring of five, a ring with two tails at one node, a
+#: theta of three paths between two nodes, and two components with a lone node.
+GRAPHS = [
+    ([(4, 9), (9, 2), (2, 7)], (), 0, [([4, 9, 2, 7], False, 0)]),
+    ([(5, 1), (5, 2), (5, 3), (3, 8), (5, 4)], (), 1, [([1, 5], False, 1), ([2, 5], False, 1), ([4, 5], False, 1), ([5, 3, 8], False, 1)]),
+    ([(0, 1), (1, 2), (2, 3), (1, 11), (2, 12)], (), 2, [([0, 1], False, 1), ([1, 2], False, 2), ([1, 11], False, 1), ([2, 3], False, 1), ([2, 12], False, 1)]),
+    ([(3, 6), (6, 4), (4, 8), (8, 5), (5, 3)], (), 0, [([3, 5, 8, 4, 6, 3], True, 0)]),
+    ([(2, 5), (5, 7), (7, 2), (2, 10), (2, 11)], (), 1, [([2, 5, 7, 2], True, 1), ([2, 10], False, 1), ([2, 11], False, 1)]),
+    ([(0, 9), (0, 4), (4, 9), (0, 5), (5, 6), (6, 9)], (), 2, [([0, 4, 9], False, 2), ([0, 5, 6, 9], False, 2), ([0, 9], False, 2)]),
+    ([(1, 2), (3, 4), (4, 6)], (20,), 0, [([1, 2], False, 0), ([3, 4, 6], False, 0), ([20], False, 0)]),
+]
+
+
+def test_hand_built_graphs(spark):
+    """All graphs at once, a cloud each, against what was worked out by hand."""
+    edges = [(str(n), *sorted(e)) for n, (own, _, _, _) in enumerate(GRAPHS) for e in own]
+    ids = [(str(n), i) for n, (own, extra, _, _) in enumerate(GRAPHS) for i in sorted({i for e in own for i in e} | set(extra))]
+    nodes = spark.createDataFrame([(c, i, float(i), 0.0, 0.0) for c, i in ids], "cloud string, id long, x double, y double, z double")
+    found = extract_topology(spark.createDataFrame(edges, "cloud string, src long, dst long"), nodes)
+    got, branches = {}, {}
+    for r in found.segments.orderBy("seg_id").collect():
+        got.setdefault(r.cloud, []).append((r.points, r.closed, r.n_branch_ends))
+    for r in found.branch_points.collect():
+        branches[r.cloud] = branches.get(r.cloud, 0) + 1
+    for n, (_, _, branch, want) in enumerate(GRAPHS):
+        assert (branches.get(str(n), 0), got[str(n)]) == (branch, want)
     assert topology.edge_partition_faults(found.edges, found.segments).isEmpty()
 
 
@@ -47,17 +60,16 @@ def test_self_loops_are_rejected(spark):
         graph(spark, [(0, 1), (1, 1)])
 
 
-def test_pruning_keeps_the_corner_and_the_ring(spark):
-    corner = from_array(spark, [[0, 0, 0], [1, 0, 0], [0, 1, 0]])
-    kept = neighbors.prune_shortcuts(neighbors.radius_edges(corner, 1.5, 1.0))
-    assert sorted((r.src, r.dst) for r in kept.collect()) == [(0, 1), (0, 2)]
-    square = from_array(spark, [[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0], [0.5, 0.5, 0]])
-    assert sorted((r.src, r.dst) for r in neighbors.prune_shortcuts(neighbors.radius_edges(square, 2.0, 1.0)).collect()) == [(i, 4) for i in range(4)]
+def test_pruning_keeps_short_legs_and_even_rings(spark):
+    bent = from_array(spark, [[0, 0, 0], [2, 0, 0], [2, 1.5, 0]])
+    kept = neighbors.prune_shortcuts(neighbors.radius_edges(bent, 3.0, 1.0))
+    assert sorted((r.src, r.dst) for r in kept.collect()) == [(0, 1), (1, 2)]
+    hub = np.array([[0, 0, 0], *[[3 * np.cos(a), 3 * np.sin(a), 0] for a in np.arange(5) * 2 * np.pi / 5]])
+    spokes = neighbors.prune_shortcuts(neighbors.radius_edges(from_array(spark, hub), 9.0, 1.0))
+    assert sorted((r.src, r.dst) for r in spokes.collect()) == [(0, i) for i in range(1, 6)]
 
 
-@pytest.mark.parametrize("small", [0, 1500])
-def test_neighbours_equal_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(neighbors, "SMALL_CLOUD", small)
+def test_neighbours_equal_brute_force(spark):
     points = np.random.default_rng(4).normal(size=(120, 3))
     points[7] = points[3]
     apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
@@ -111,13 +123,98 @@ def test_many_clouds_at_once(spark):
     assert (s["0"].branch_points, s["0"].segments, s["1"].closed_loops) == (1, 3, 1)
 
 
+def named(df, name):
+    return df.withColumn("cloud", F.lit(name))
+
+
+def shapes(spark):
+    """Clouds of points on lines: a cross of four arms, a lattice of three by two, a line."""
+    arms = [(k * dx, k * dy, 0.0) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)) for k in range(1, 7)]
+    line = [(0.5 * k, 0.0, 0.0) for k in range(20)]
+    grid = generate(spark, "grid", {"nx": 3, "ny": 2})[0]
+    return named(from_array(spark, [(0, 0, 0), *arms]), "x").unionByName(named(grid, "grid")).unionByName(named(from_array(spark, line), "line"))
+
+
+def test_points_on_lines(spark):
+    points = shapes(spark)
+    found = extract(points)
+    s = {r.cloud: r for r in found.summary().collect()}
+    assert (s["x"].branch_points, s["x"].segments, s["x"].branch_ends_1) == (1, 4, 4)
+    assert (s["grid"].branch_points, s["grid"].branch_ends_1, s["line"].branch_points, s["line"].segments) == (2, 0, 0, 1)
+    center = next(r for r in found.branch_points.collect() if r.cloud == "x")
+    assert (center.x, center.y, center.z) == pytest.approx((0, 0, 0), abs=1e-9)
+    size = {r.cloud: r.n for r in found.nodes.groupBy("cloud").agg(F.count("*").alias("n")).collect()}
+    assert size == {r.cloud: r.n for r in points.groupBy("cloud").agg(F.count("*").alias("n")).collect()}
+    assert all(r.n_points == 7 for r in found.segments.where("cloud = 'x'").collect())
+    corners = found.degree.join(found.nodes, ["cloud", "id"]).where("cloud = 'grid' and x in (0, 8) and y in (0, 4)")
+    assert [r.degree for r in corners.collect()] == [2] * 4
+    assert extract(points.where("cloud = 'x'"), Config(neighbors=NeighborConfig(prune_shortcuts=False))).nodes.count() < 25
+
+
 def test_tubes_collapse_to_their_centre_lines(spark):
-    found = extract(generate(spark, "cylinder")[0], build_config(DATASETS["cylinder"]["recommended_config"] | {"reduce.contraction_iterations": 12}))
-    (seg,) = found.segments.collect()
-    z = np.array([[r.x, r.y, r.z] for r in found.nodes.collect()])
+    """Cylinder, Y of tubes, torus and tree: what their centre lines must be."""
+    settings = {"reduce.mode": "collapse", "neighbors.radius_factor": 1.8}
+    points = named(generate(spark, "cylinder")[0], "cylinder").unionByName(named(generate(spark, "torus")[0], "torus"))
+    tree, meta = generate(spark, "tree")
+    points = settle(points.unionByName(named(tree, "tree")))
+    found = extract(points, build_config(settings))
+    nodes = {c: np.array([(r.x, r.y, r.z) for r in rows]) for c, rows in by_cloud(found.nodes).items()}
+    segs, s = by_cloud(found.segments), {r.cloud: r for r in found.summary().collect()}
+    [seg] = segs["cylinder"]
     assert not seg.closed and seg.n_points >= 15
-    assert np.hypot(z[:, 0], z[:, 1]).mean() < 0.25 and np.ptp(z[:, 2]) > 6
-    assert found.membership.count() == 320
+    assert np.hypot(*nodes["cylinder"].T[:2]).mean() < 0.25 and np.ptp(nodes["cylinder"][:, 2]) > 6
+    [ring] = segs["torus"]
+    assert ring.closed and ring.n_points >= 24 and s["torus"].branch_points == 0
+    assert abs(np.hypot(*nodes["torus"].T[:2]).mean() - 5) < 1.25 and np.abs(nodes["torus"][:, 2]).mean() < 0.25
+    assert s["tree"].branch_points >= 5 and s["tree"].isolated == 0 and not any(x.closed for x in segs["tree"])
+    assert len(meta["truth"]["branch_points"]) == 7 and len(meta["truth"]["polylines"]) == 15
+    assert found.membership.count() == points.count()
+    ids = by_cloud(found.nodes.select("cloud", "id"))
+    assert all({i for x in rows for i in x.points} <= {r.id for r in ids[c]} for c, rows in segs.items())
+
+
+def by_cloud(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.cloud, []).append(r)
+    return out
+
+
+def test_a_junction_of_tubes_is_one_node(spark):
+    points = settle(generate(spark, "y_tube")[0])
+    stages = trace(points, build_config({"reduce.mode": "collapse"}), animate=True, max_frames=4)
+    blob = topology.degrees(stages["skeleton_points"], stages["skeleton_edges"]).where("degree >= 3").count()
+    [center] = stages["branch_points"].collect()
+    assert blob > 1 and (center.x, center.y, center.z) == pytest.approx((0, 0, 0), abs=0.4)
+    [s] = stages["summary"].collect()
+    assert (s.segments, s.branch_ends_1) == (3, 3)
+    assert sorted({r.frame for r in stages["contraction_frames"].collect()}) == frame_numbers(10, 4)
+    assert set(stages) >= {"input", "contracted", "skeleton_edges", "pruned_edges", "merged_edges", "node_kinds", "notes", "mode"}
+    text = trace_json({n: stages[n] for n in ("input", "summary")}).collect()
+    assert len(text) == 505 and all(json.loads(r.json) for r in text)
+
+
+def test_anchors_keep_a_tube_long(spark):
+    points = settle(generate(spark, "cylinder")[0])
+    graph = settle(neighbors.radius_edges(points, 2.5))
+    span = {}
+    for gain in (0.0, 8.0):
+        rows = reduce.contract_points(points, graph, ReduceConfig(boundary_anchor=gain)).collect()
+        at = np.array([(r.x, r.y, r.z) for r in rows])
+        span[gain] = np.ptp(at[:, 2])
+        assert np.hypot(at[:, 0], at[:, 1]).mean() < 0.25 or not gain
+    assert span[8.0] > 1.5 * span[0.0] and span[8.0] > 7.5
+
+
+def test_every_dataset_and_request(spark):
+    for key, spec in DATASETS.items():
+        points, meta = generate(spark, key, {"unknown": 1})
+        assert points.columns == ["cloud", "id", "x", "y", "z"] and meta["label"] == int(spec["category"] == "tubiform")
+        assert json.loads(json.dumps(meta))["truth"]["polylines"]
+        ids = [r.id for r in points.select("id").collect()]
+        assert sorted(ids) == list(range(len(ids)))
+    made = run_pipeline(spark, {"dataset": "loop", "config": {"reduce.mode": "auto", "neighbors.scale": 0}})
+    assert made["dataset"] == "loop" and made["stages"]["auto"].first().chosen == "surface"
 
 
 def test_stub_pruning_and_surface(spark):
@@ -155,3 +252,20 @@ def test_unknown_dataset(spark):
 def test_consolidation_of_nothing(spark):
     nodes = from_array(spark, [[0, 0, 0], [5, 0, 0]])
     assert cleanup.median_edge(nodes, spark.createDataFrame([], "cloud string, src long, dst long, w double")).first().median_edge == 0.0
+
+
+def test_medians_and_numbers_equal_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=2001), "b": np.round(rng.normal(size=500), 1), "c": [4.0], "d": [1.0, 2.0, 4.0, 10.0], "e": [7.0] * 600}
+    rows = settle(spark.createDataFrame([(c, float(v), i * i) for c, own in values.items() for i, v in enumerate(own)], "cloud string, w double, id long"))
+    got = {r.cloud: r.m for r in order.exact_median(rows, "w", "m").collect()}
+    assert got == {c: pytest.approx(float(np.median(own))) for c, own in values.items()}
+    numbers = {(r.cloud, r.id): r.n for r in order.numbered(rows, "id", ["id"], "n").collect()}
+    assert numbers == {(c, i * i): i for c, own in values.items() for i in range(len(own))}
+
+
+def test_contraction_that_does_not_settle_is_an_error(monkeypatch):
+    monkeypatch.setattr("curvewright.functions.kernels.DENSE_POINTS", 0)
+    monkeypatch.setattr("curvewright.functions.kernels.CG_STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        contract(np.random.default_rng(0).normal(size=(60, 3)), np.arange(59), np.arange(1, 60), np.ones(60), 0.5, 1.6, 5)

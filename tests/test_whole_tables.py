@@ -39,7 +39,7 @@ def graph(at, factor=2.5):
 
 
 def test_contraction_and_local_shape_take_every_order(spark, tables):
-    ids, cloud, at = places(queries.whole_d5(spark, tables))
+    ids, cloud, at = places(queries.cloud_d5(spark, tables))
     assert list(ids) == list(range(ORDERS)) and len(set(cloud)) == 4
     for name in ("anchor_weights", "local_dim", "contract"):
         assert sorted(r.id for r in run(spark, tables, name)) == list(ids), name
@@ -51,23 +51,23 @@ def test_contraction_and_local_shape_take_every_order(spark, tables):
         _, left, right = graph(at[own])
         last = contract(at[own], left, right, np.array([anchor[i] for i in own]), cfg.wh / (2 * len(left) / len(own)), cfg.sl, cfg.contraction_iterations)[-1]
         assert np.allclose(last, [got[i] for i in own], atol=1e-4)
-    surface = {r.cloud: (r.nodes, r.edges) for r in run(spark, tables, "extract_surface_all")}
+    surface = {r.cloud: (r.nodes, r.edges) for r in run(spark, tables, "extract_surface")}
     assert {c: n for c, (n, _) in surface.items()} == {"0": 384, "1": 384, "2": 384, "3": 100}
-    loops = {r.cloud: (r.branch_points, r.closed_loops) for r in run(spark, tables, "extract_collapse_all")}
+    loops = {r.cloud: (r.branch_points, r.closed_loops) for r in run(spark, tables, "extract_collapse")}
     assert [loops[c] for c in "012"] == [(0, 1)] * 3 and set(loops) == set("0123")
 
 
 def test_every_customer_stands_in_a_shape(spark, tables):
-    found = {r.cloud: (r.branch_points, r.segments, r.isolated) for r in run(spark, tables, "extract_none_d2_all")}
+    found = {r.cloud: (r.branch_points, r.segments, r.isolated) for r in run(spark, tables, "extract_none_d2")}
     assert found == {str(k): (1, 3, 0) for k in range(5)}
-    assert sorted(r.n_points for r in run(spark, tables, "segments_loop_all")) == [41, 41]
-    assert {r.id: r.d_perp for r in run(spark, tables, "associate_all")} == dict.fromkeys(range(CUSTOMERS), 0.0)
-    _, cloud, at = places(queries.whole_d3(spark, tables))
-    for r in run(spark, tables, "pitch_d3_all"):
+    assert sorted(r.n_points for r in run(spark, tables, "segments_loop")) == [41, 41]
+    assert {r.id: r.d_perp for r in run(spark, tables, "associate")} == dict.fromkeys(range(CUSTOMERS), 0.0)
+    _, cloud, at = places(queries.cloud_d3(spark, tables))
+    for r in run(spark, tables, "pitch_d3"):
         assert r.pitch == pytest.approx(graph(at[cloud == r.cloud])[0], abs=1e-5)
     assert queries.flagship(spark, tables).count() == 5
 
 
 def test_every_user_is_a_chain(spark, tables):
-    [got] = run(spark, tables, "extract_none_all")
-    assert (got.chains, got.isolated) == (sum(u % 3 > 0 for u in range(USERS)), sum(u % 3 == 0 for u in range(USERS)))
+    got = {r.cloud: (r.branch_points, r.segments, r.isolated) for r in run(spark, tables, "extract_none")}
+    assert got == {str(u): (0, 1, int(u % 3 == 0)) for u in range(USERS)}
