@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settle as durable
@@ -63,6 +63,27 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: A list of 64-bit hashes up to this number of rows is broadcast: 8 bytes each, about 20 in a join's table.
+BROADCAST_ROWS = 2_000_000
+
+
+def few(listed: DataFrame) -> DataFrame:
+    """The (written) list, broadcast if its rows, counted from file footers, are few; else joins may shuffle it."""
+    return F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
+
+
+def part_listed(rows: DataFrame, hashed: Column, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be listed, rows that are not): ``listed`` has a column ``_h`` of such hashes.
+
+    The first part still needs an exact join; wide rows of the second part never travel. When the list is long, all
+    rows are in the first part.
+    """
+    if listed.count() > BROADCAST_ROWS:
+        return rows, rows.limit(0)
+    found = F.broadcast(listed.select("_h"))
+    return rows.join(found, hashed == F.col("_h"), "left_semi"), rows.join(found, hashed == F.col("_h"), "left_anti")
+
+
 def in_batches(frames: Iterator[pd.DataFrame], chars: int = 1 << 20, col: str = "text") -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that one piece holds about ``chars`` code points (a longer text stands alone)."""
     for frame in frames:

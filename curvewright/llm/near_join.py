@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import durable, in_batches, texts_of, worker_task
+from .common import durable, few, in_batches, part_listed, texts_of, worker_task
 from .textvec import distinct_shingles
 
 THRESHOLD = 0.8
@@ -239,8 +239,9 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     groups = durable(groups.join(reps.select("rep", "set_key", "doc_id", "text_key", "copies", "n"), "rep"))
 
     sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    wanted = groups.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
+    # Hashes only keep texts from being worked on in vain: the join on set_key decides.
+    hashed = F.xxhash64("doc_id", "text_key")
+    texts = docs.join(few(groups.select(hashed.alias("_h"))), hashed == F.col("_h"), "left_semi")
     shingles = _shingle_rows(texts).join(groups.select("rep", "set_key", "root", "copies"), "set_key").drop("set_key").dropDuplicates(["rep"])
     rows = in_block_pairs(shingles.join(sizes, "root"), "root", F.col("blocks")).select("root", "i", "j", "blk", "rep", "copies", "shingles")
     linked = durable(_dealt(rows, "root", parts).mapInPandas(_grouped(lambda p: verify(p, threshold), ["rep", "links", "low"], "root"), "rep bigint, links bigint, low bigint"))
@@ -272,8 +273,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     marked = found.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (order("doc_id") == F.col("least")).alias("stays"), "n")
     # Most rows stay, and few repeat: only the others are listed.
     marked = durable(marked.where(~F.col("stays") | (F.col("n") > 1)))
+    marked = marked.withColumn("_h", F.xxhash64("_id", "_key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     key = F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
-    rows = rows.join(marked, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").where(F.coalesce("stays", F.lit(True)))
-    one = rows.where("stays is null").select("row.*")
-    return one.unionByName(rows.where("stays").dropDuplicates(["_id", "_key"]).select("row.*"))
+    some, others = part_listed(rows, F.xxhash64("row.doc_id", key), marked)
+    some = some.join(marked, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").where(F.coalesce("stays", F.lit(True)))
+    one = others.select("row.*").unionByName(some.where("stays is null").select("row.*"))
+    return one.unionByName(some.where("stays").dropDuplicates(["_id", "_key"]).select("row.*"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of
+from .common import durable, part_listed, texts_of
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind: (pattern, what a text must contain for it)
@@ -278,6 +278,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     cuts = durable(_cuts(spans(docs)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cuts"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cuts = cuts.withColumn("_h", F.xxhash64("_id", "_key"))
+    rows, others = part_listed(rows, F.xxhash64("row.doc_id", _key(F.col("row.text"))), cuts)
     rows = rows.join(cuts, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (_key(F.col("row.text")) == F.col("_key")), "left")
 
     def clean(piece: Column, cut: Column) -> Column:
@@ -287,4 +289,4 @@ def redact(docs: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("row.text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
     changed = F.transform(pieces, lambda p, i: F.when(F.map_contains_key("cuts", i), clean(p, F.element_at("cuts", i))).otherwise(p))
     text = F.when(F.col("cuts").isNotNull(), F.array_join(changed, "")).otherwise(F.col("row.text"))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return others.select("row.*").unionByName(rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
