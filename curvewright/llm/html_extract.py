@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_batches
+from .common import durable, in_batches, part_listed
 from .textvec import mix
 
 #: A host needs so many different pages for a template: one page cannot tell what repeats.
@@ -178,11 +178,12 @@ def _different(pages: DataFrame) -> DataFrame:
     order = F.struct(F.col("page_id").isNull(), "page_id")
     first = seen.groupBy("host", "digest").agg(F.min(order).alias("least"))
     more = seen.join(first, ["host", "digest"]).select("host", "digest", F.col("page_id").alias("_id"), (order == F.col("least")).alias("first"), "n")
-    more = durable(more.where(~F.col("first") | (F.col("n") > 1)))
-    marked = whole.alias("w").join(more.alias("m"), (F.col("w.host") == F.col("m.host")) & (F.col("w.digest") == F.col("m.digest")) & F.col("w.page_id").eqNullSafe(F.col("m._id")), "left")
-    marked = marked.select("w.host", "w.html", "w.digest", "m.first")
+    more = durable(more.where(~F.col("first") | (F.col("n") > 1)).withColumn("_h", F.xxhash64("host", "digest", "_id")))
+    some, others = part_listed(whole, F.xxhash64("host", "digest", "page_id"), more)
+    same = (F.col("w.host") == F.col("m.host")) & (F.col("w.digest") == F.col("m.digest")) & F.col("w.page_id").eqNullSafe(F.col("m._id"))
+    marked = some.alias("w").join(more.alias("m"), same, "left").select("w.host", "w.html", "w.digest", "m.first")
     again = marked.where("first").dropDuplicates(["host", "digest"])
-    return marked.where("first is null").unionByName(again).select("host", "html", "digest")
+    return others.select("host", "html", "digest").unionByName(marked.where("first is null").unionByName(again).select("host", "html", "digest"))
 
 
 def _token_rows(pages: DataFrame) -> DataFrame:
