@@ -635,22 +635,37 @@ def test_pii_long_texts_take_linear_time(spark):
 
 
 def test_pipeline_stages(spark, labelled, tmp_path):
+    """Planted rows, and null, empty, long, repeated and unnumbered ones, against what each stage must leave."""
     import corpus_pipeline
 
     docs, labels = labelled
+    odd = [(1000, None), (1001, ""), (1002, prose(3000, 577)), (1003, "call a.b@c.de " + prose(60, 578)), (1004, prose(70, 579)), (1004, prose(70, 579)), (1005, prose(70, 579)), (None, prose(70, 580))]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     current = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, current, str(tmp_path))
+        after = common.durable(stage(spark, current, str(tmp_path)))
         assert after.columns == docs.columns, name
         assert after.count() <= current.count()
         current = after
+        if name == "toxicity":
+            judged = [r.doc_id for r in after.select("doc_id").collect()]
     truth = {r.doc_id: (r.toxic, r.quality) for r in labels.collect()}
-    left = [r.doc_id for r in current.select("doc_id").collect()]
-    assert np.mean([truth[i] == (0, 1) for i in left]) > 0.97
-    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left)
+    left = current.collect()
+    assert np.mean([truth[r.doc_id] == (0, 1) for r in left if r.doc_id in truth]) > 0.97
+    kept = [r for r in left if r.doc_id not in truth]
+    # Of what the classifiers kept, rows 1000 and 1001 are copies of each other, as are the three of 1004 and 1005.
+    first = {1001: 1000, 1005: 1004}
+    assert sorted(str(r.doc_id) for r in kept) == sorted({str(first.get(i, i)) for i in judged if i not in truth})
+    assert all(r.text.startswith("call <EMAIL> ") for r in kept if r.doc_id == 1003) and len(kept) > 1
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
+    packed = corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in left} and sum(r.start == 0 for r in packed) == len(left)
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_worker_task_releases_caches_of_other_operators():
