@@ -32,6 +32,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return the allocators' free pages to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def worker_task(release: Callable[[], None] | None = None) -> Iterator[None]:
     """Around a task's work in a Python worker, which Spark keeps for later tasks of any operator.
@@ -46,10 +54,7 @@ def worker_task(release: Callable[[], None] | None = None) -> Iterator[None]:
     try:
         yield
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ null; an empty table gives no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, keep_rows, per_text, texts_of
+from .common import give_back, in_batches, keep_rows, per_text, texts_of
 from .labelled import held_out, training_rows
 from .textvec import word_hashes
 
@@ -69,15 +70,20 @@ def counts(texts: list[str]) -> np.ndarray:
 
 
 def shares(found: np.ndarray) -> np.ndarray:
-    """Square roots of each term's share among the terms of its sort, so that long and short texts compare."""
-    sorts = found[:, :CLASSES], found[:, CLASSES : CLASSES + WORDS], found[:, CLASSES + WORDS :]
-    sizes = [np.maximum(x, 1) for x in (sorts[0].sum(1, keepdims=True), sorts[1].sum(1, keepdims=True), sorts[2][:, 3:4])]
-    return np.sqrt(np.hstack([x / n for x, n in zip(sorts, sizes, strict=True)]))
+    """Square roots of each term's share among the terms of its sort, so that long and short texts compare.
+
+    The counts are overwritten by the result.
+    """
+    sizes = found[:, CLASSES + WORDS + 3].copy()
+    for a, b in ((0, CLASSES), (CLASSES, CLASSES + WORDS), (CLASSES + WORDS, WIDTH)):
+        total = sizes if b == WIDTH else found[:, a:b].sum(1)
+        found[:, a:b] /= np.maximum(total, 1)[:, None]
+    return np.sqrt(found, out=found)
 
 
 def truncated_svd(x: np.ndarray, rank: int, rounds: int = 8, spare: int = 16) -> np.ndarray:
     """The leading right singular vectors of x by subspace iteration from a fixed start."""
-    basis = np.random.default_rng(9).normal(size=(x.shape[1], min(rank + spare, x.shape[1])))
+    basis = np.random.default_rng(9).normal(size=(x.shape[1], min(rank + spare, x.shape[1]))).astype(x.dtype)
     for _ in range(rounds):
         basis = np.linalg.qr(x.T @ (x @ basis))[0]
     _, _, turn = np.linalg.svd(np.linalg.qr(x @ basis, mode="r"))
@@ -88,14 +94,14 @@ class Neighbours:
     """Labelled latent vectors and the projection that makes them."""
 
     def __init__(self, found: np.ndarray, y: np.ndarray, whole: tuple[int, int] | None = None) -> None:
-        """``whole``: how many learnable labels are 0 and 1, in and out of the sample."""
+        """``found`` is overwritten; ``whole``: how many learnable labels are 0 and 1, in and out of the sample."""
         bad, good = whole or (int((y == 0).sum()), int((y == 1).sum()))
         self.prior = good / (bad + good) if bad + good else 0.5
         self.y = y.astype(np.float64)
         self.times = np.where(y == 1, good / max((y == 1).sum(), 1), bad / max((y == 0).sum(), 1))
+        self.idf = (np.log((1 + len(found)) / (1 + np.count_nonzero(found, axis=0))) + 0.3).astype(np.float32)
         x = shares(found)
-        self.idf = np.log((1 + len(x)) / (1 + (found > 0).sum(0))) + 0.3
-        x = x * self.idf
+        x *= self.idf
         self.basis = truncated_svd(x, RANK).astype(np.float32)
         self.vectors = self._unit(x)
 
@@ -109,27 +115,35 @@ class Neighbours:
         k = min(NEIGHBOURS, len(self.y))
         for a in range(0, len(texts) if k else 0, BLOCK):
             found = counts(texts[a : a + BLOCK])
+            wordless = found[:, WIDTH - 2] == 0
             sims = self._unit(shares(found) * self.idf) @ self.vectors.T
             near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4 * self.times[near]
             total = w.sum(1)
             voted = np.where(total > 0, (w * self.y[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
-            out[a : a + BLOCK] = np.where(found[:, WIDTH - 2] == 0, self.prior, voted)
+            out[a : a + BLOCK] = np.where(wordless, self.prior, voted)
         return np.round(np.clip(out, 0, 1), 6)  # products of single precision differ a little from block to block
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Neighbours:
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_batches(frames):
-            yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [r.astype(np.float32).tobytes() for r in counts(part["text"].tolist())]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [zlib.compress(r.astype(np.float32).tobytes(), 1) for r in counts(part["text"].tolist())]})
 
     rows = training_rows(docs, labels, label, per_class)
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInPandas(pack, f"doc_id {kind}, y int, x binary").collect(), key=lambda r: r["doc_id"])
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], dtype=np.float64).reshape(len(got), WIDTH)
+    y = np.array([r["y"] for r in got], dtype=np.int64)
+    x = np.empty((len(got), WIDTH), np.float32)  # the one large array of the driver; it is worked on in place
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(zlib.decompress(r["x"]), np.float32)
+    del got
     counted = labels.where(~held_out()).groupBy(F.col(label).cast("int").alias("y")).agg(F.countDistinct("doc_id").alias("n"))
     whole = {r["y"]: r["n"] for r in counted.collect()}
-    return Neighbours(x, np.array([r["y"] for r in got], dtype=np.int64), (whole.get(0, 0), whole.get(1, 0)))
+    fitted = Neighbours(x, y, (whole.get(0, 0), whole.get(1, 0)))
+    del x
+    give_back()
+    return fitted
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:

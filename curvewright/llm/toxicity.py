@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, keep_rows, per_text, texts_of
+from .common import give_back, in_batches, keep_rows, per_text, texts_of
 from .labelled import held_out, training_rows
 
 BITS = 18
@@ -154,7 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     kind = rows.schema["doc_id"].dataType.simpleString()
     got = sorted(rows.mapInPandas(pack, f"doc_id {kind}, y int, bag binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], dtype=np.int64)
-    scalar, bias = train([r["bag"] for r in got], y)
+    bags_of = [r["bag"] for r in got]
+    del got
+    scalar, bias = train(bags_of, y)
+    del bags_of
+    give_back()
     # The sample is near balanced; move the bias back to the shares among all learnable labels.
     whole = {r["y"]: r["n"] for r in labels.where(~held_out()).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if 0 < y.sum() < len(y):
