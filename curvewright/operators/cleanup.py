@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES
+from ..functions.joins import shuffled, with_cloud
 from ..functions.lineage import settle
 from .components import connected_components
 from .neighbors import with_lengths
@@ -16,7 +17,7 @@ from .topology import degrees
 def median_edge(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cloud, median_edge): exact median edge length from coordinates; 0.0 without edges."""
     lengths = exact_median(settle(with_lengths(edges, nodes).select("cloud", "w")), "w", "_m")
-    return nodes.select("cloud").distinct().join(lengths, "cloud", "left").select("cloud", F.coalesce("_m", F.lit(0.0)).alias("median_edge"))
+    return nodes.select("cloud").distinct().join(shuffled(lengths), "cloud", "left").select("cloud", F.coalesce("_m", F.lit(0.0)).alias("median_edge"))
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, merged: DataFrame, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -26,13 +27,13 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merged: DataFrame, places: D
     become one and edges within a cluster go.
     """
     roots = connected_components(merged.select("cloud", "src", "dst"), settle, ("cloud",)).withColumnRenamed("node", "id")
-    member = nodes.select("cloud", "id").join(roots, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("root", "id").alias("root"))
+    member = nodes.select("cloud", "id").join(shuffled(roots), ["cloud", "id"], "left").select("cloud", "id", F.coalesce("root", "id").alias("root"))
     member = settle(member)
     number = numbered(member.select("cloud", "root").distinct(), "root", ["root"], "node_id")
-    member = settle(member.join(number, ["cloud", "root"]).select("cloud", "id", "node_id"))
+    member = settle(member.join(shuffled(number), ["cloud", "root"]).select("cloud", "id", "node_id"))
     at = (places if places is not None else nodes).select("cloud", "id", *AXES)
-    new_nodes = at.join(member, ["cloud", "id"]).groupBy("cloud", "node_id").agg(*[F.avg(c).alias(c) for c in AXES]).withColumnRenamed("node_id", "id")
-    side = lambda s, n: member.select("cloud", F.col("id").alias(s), F.col("node_id").alias(n))
+    new_nodes = at.join(shuffled(member), ["cloud", "id"]).groupBy("cloud", "node_id").agg(*[F.avg(c).alias(c) for c in AXES]).withColumnRenamed("node_id", "id")
+    side = lambda s, n: shuffled(member.select("cloud", F.col("id").alias(s), F.col("node_id").alias(n)))
     moved = edges.select("cloud", "src", "dst").join(side("src", "p"), ["cloud", "src"]).join(side("dst", "q"), ["cloud", "dst"])
     new_edges = moved.where("p <> q").select("cloud", F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
     return new_nodes.select("cloud", "id", *AXES), new_edges, member
@@ -41,9 +42,9 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merged: DataFrame, places: D
 def junction_edges(nodes: DataFrame, edges: DataFrame, max_gap: DataFrame) -> DataFrame:
     """Edges between two nodes of degree 3 or more that are shorter than the cloud's max_gap."""
     branch = degrees(nodes, edges).where("degree >= 3").select("cloud", "id")
-    short = with_lengths(edges, nodes).join(max_gap, "cloud").where("w < max_gap")
+    short = with_cloud(with_lengths(edges, nodes), settle(max_gap)).where("w < max_gap")
     for side in ("src", "dst"):
-        short = short.join(branch.withColumnRenamed("id", side), ["cloud", side], "left_semi")
+        short = short.join(shuffled(branch.withColumnRenamed("id", side)), ["cloud", side], "left_semi")
     return short.select("cloud", "src", "dst", "w")
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled
+
 MAX_ROUNDS = 60
 #: Edges, counted in each round, up to which a round's table of least neighbours is broadcast: it has at most two
-#: rows of some 40 bytes for each edge.
-BROADCAST_EDGES = 500_000
+#: rows of some 40 bytes for each edge, and the driver holds several such tables at once.
+BROADCAST_EDGES = 50_000
 
 
 def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -29,7 +31,7 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
         """pairs: src > dst. Connects each node's larger (or smaller) neighbours to the least of its neighbourhood."""
         around = pairs.unionByName(pairs.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else pairs
         least = around.groupBy(*keys, "src").agg(F.min("dst").alias("_low"))
-        least = F.broadcast(least) if few else settle(least)
+        least = F.broadcast(least) if few else shuffled(settle(least))
         if large:
             least = least.select(*keys, "src", F.least("src", "_low").alias("_low"))
             moved = around.where("dst > src").join(least, [*keys, "src"]).select(*keys, F.col("dst").alias("src"), F.col("_low").alias("dst"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import NeighborConfig
 from ..functions.geometry import AXES, distance
+from ..functions.joins import shuffled, with_cloud
 from ..functions.lineage import settle
 from .components import connected_components
 from .order import exact_median
@@ -38,7 +39,7 @@ def _meet(asking: DataFrame, everyone: DataFrame, ordered: bool) -> DataFrame:
 
     One side is sent to its 27 neighbouring cells, so the join is an equi-join on the cell and a pair meets once.
     """
-    a, b = asking.alias("a"), everyone.alias("b")
+    a, b = asking.alias("a"), shuffled(everyone).alias("b")
     same = F.col("a.cloud") == F.col("b.cloud")
     for c in AXES:
         same &= F.col(f"a.c{c}") == F.col(f"b.c{c}")
@@ -62,7 +63,7 @@ def _start_radius(points: DataFrame) -> DataFrame:
     counts = points.groupBy("cloud").agg(F.count("*").alias("n"), *ends).select("cloud", "n", span.alias("span"))
     levels = range(1, 21)
     cell = lambda j: F.struct(*[F.floor(F.col(c) * 2.0**j / F.greatest("span", F.lit(1e-300))) for c in AXES])
-    occupied = points.join(counts, "cloud").groupBy("cloud", "n", "span").agg(*[F.approx_count_distinct(cell(j)).alias(f"o{j}") for j in levels])
+    occupied = with_cloud(points, settle(counts)).groupBy("cloud", "n", "span").agg(*[F.approx_count_distinct(cell(j)).alias(f"o{j}") for j in levels])
     fine = F.greatest(*[F.when(F.col("n") / F.col(f"o{j}") >= 2.0, F.lit(j)).otherwise(0) for j in levels])
     return occupied.select("cloud", "n", F.when(F.col("span") > 0, F.col("span") / F.pow(F.lit(2.0), fine)).otherwise(1.0).alias("r"))
 
@@ -76,8 +77,8 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     """
     points = points.select("cloud", "id", *AXES)
     start = settle(_start_radius(points)).where("n > 1")
-    waiting, found, wider = points.join(start, "cloud"), None, 1
-    everyone = points.join(start, "cloud")
+    everyone = with_cloud(points, start)
+    waiting, found, wider = everyone, None, 1
     while True:
         radius = F.col("r") * wider
         asking = _cells(waiting, radius, True).withColumn("r", radius)
@@ -88,9 +89,9 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
             own = Window.partitionBy("cloud", "src")
             ranked = pairs.withColumn("_rank", F.row_number().over(own.orderBy("w", "dst"))).where(F.col("_rank") <= k)
             hit = ranked.withColumn("m", F.count("*").over(own)).drop("_rank")
-        hit = settle(hit.join(start.select("cloud", "n"), "cloud").where(F.col("m") >= F.least(F.lit(k), F.col("n") - 1)).drop("n", "m"))
+        hit = settle(with_cloud(hit, start.select("cloud", "n")).where(F.col("m") >= F.least(F.lit(k), F.col("n") - 1)).drop("n", "m"))
         found = hit if found is None else found.unionByName(hit)
-        waiting = settle(waiting.join(hit.select("cloud", F.col("src").alias("id")).distinct(), ["cloud", "id"], "left_anti"))
+        waiting = settle(waiting.join(shuffled(hit.select("cloud", F.col("src").alias("id")).distinct()), ["cloud", "id"], "left_anti"))
         if waiting.isEmpty():
             return found
         wider *= 2 if wider == 1 else 4
@@ -106,7 +107,7 @@ def with_scale(points: DataFrame, scale: float | None, name: str = "scale") -> D
     """points with their cloud's scale: the given one, or the pitch."""
     if scale is not None:
         return points.withColumn(name, F.lit(float(scale)))
-    return points.join(pitch(points).withColumnRenamed("pitch", name), "cloud")
+    return with_cloud(points, settle(pitch(points).withColumnRenamed("pitch", name)))
 
 
 def radius_edges(points: DataFrame, factor: float = 1.6, scale: float | None = None) -> DataFrame:
@@ -126,7 +127,7 @@ def mst_edges(points: DataFrame, k: int = 10) -> DataFrame:
     labels = edges.select("cloud", F.col("src").alias("node")).unionByName(edges.select("cloud", F.col("dst").alias("node"))).distinct().withColumn("comp", F.col("node"))
     chosen = None
     while True:
-        at = lambda side: labels.select("cloud", F.col("node").alias(side), F.col("comp").alias(f"c_{side}"))
+        at = lambda side: shuffled(labels.select("cloud", F.col("node").alias(side), F.col("comp").alias(f"c_{side}")))
         open_edges = edges.join(at("src"), ["cloud", "src"]).join(at("dst"), ["cloud", "dst"]).where("c_src <> c_dst")
         key = F.struct("w", "src", "dst", "c_src", "c_dst")
         ends = open_edges.select("cloud", F.explode(F.array("c_src", "c_dst")).alias("comp"), key.alias("e"))
@@ -136,18 +137,19 @@ def mst_edges(points: DataFrame, k: int = 10) -> DataFrame:
         step = picked.select("cloud", "src", "dst", "w")
         chosen = step if chosen is None else chosen.unionByName(step)
         merged = connected_components(picked.select("cloud", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")), settle, ("cloud",))
-        labels = settle(labels.join(merged.withColumnRenamed("node", "comp"), ["cloud", "comp"], "left").select("cloud", "node", F.coalesce("root", "comp").alias("comp")))
+        labels = settle(labels.join(shuffled(merged.withColumnRenamed("node", "comp")), ["cloud", "comp"], "left").select("cloud", "node", F.coalesce("root", "comp").alias("comp")))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions."""
-    turned = [F.col("dst").alias("src") if c == "src" else F.col("src").alias("dst") if c == "dst" else F.col(c) for c in edges.columns]
-    return edges.unionByName(edges.select(*turned))
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    turned = edges.withColumn("_ends", F.explode(ends))
+    return turned.select(*[F.col(f"_ends.{c}").alias(c) if c in ("src", "dst") else F.col(c) for c in edges.columns])
 
 
 def with_lengths(edges: DataFrame, points: DataFrame) -> DataFrame:
     """Edges with w taken anew from coordinates."""
-    e, a, b = edges.select("cloud", "src", "dst").alias("e"), points.alias("a"), points.alias("b")
+    e, a, b = edges.select("cloud", "src", "dst").alias("e"), shuffled(points).alias("a"), shuffled(points).alias("b")
     joined = e.join(a, (F.col("e.cloud") == F.col("a.cloud")) & (F.col("e.src") == F.col("a.id"))).join(b, (F.col("e.cloud") == F.col("b.cloud")) & (F.col("e.dst") == F.col("b.id")))
     return joined.select("e.cloud", "e.src", "e.dst", distance("a", "b").alias("w"))
 
@@ -160,16 +162,16 @@ def prune_shortcuts(edges: DataFrame, eps: float = EPS) -> DataFrame:
     """
     e = edges.select("cloud", "src", "dst", "w")
     legs = both_ways(e)
-    first = e.join(legs.select("cloud", "src", F.col("dst").alias("k"), F.col("w").alias("w1")), ["cloud", "src"]).where(F.col("w1") < F.col("w") - eps)
+    first = e.join(shuffled(legs.select("cloud", "src", F.col("dst").alias("k"), F.col("w").alias("w1"))), ["cloud", "src"]).where(F.col("w1") < F.col("w") - eps)
     second = legs.select("cloud", F.col("src").alias("dst"), F.col("dst").alias("k"), F.col("w").alias("w2"))
-    seen = first.join(second, ["cloud", "dst", "k"]).where(F.col("w2") < F.col("w") - eps).select("cloud", "src", "dst")
-    return e.join(seen, ["cloud", "src", "dst"], "left_anti")
+    seen = first.join(shuffled(second), ["cloud", "dst", "k"]).where(F.col("w2") < F.col("w") - eps).select("cloud", "src", "dst")
+    return e.join(shuffled(seen), ["cloud", "src", "dst"], "left_anti")
 
 
 def ball_counts(points: DataFrame, factor: float = 2.5, scale: float | None = None) -> DataFrame:
     """(cloud, id, n): points within the radius of each point, itself included."""
     near = both_ways(radius_edges(points, factor, scale)).groupBy("cloud", F.col("src").alias("id")).agg(F.count("*").alias("_m"))
-    return points.select("cloud", "id").join(near, ["cloud", "id"], "left").select("cloud", "id", (F.coalesce("_m", F.lit(0)) + 1).alias("n"))
+    return points.select("cloud", "id").join(shuffled(near), ["cloud", "id"], "left").select("cloud", "id", (F.coalesce("_m", F.lit(0)) + 1).alias("n"))
 
 
 def build_edges(points: DataFrame, cfg: NeighborConfig) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled, with_cloud
+from ..functions.lineage import settle
+
 #: The middle of a cloud's values that is looked at one by one, as a share on either side of the median, and the
 #: accuracy of the sketch that bounds it: its ranks are off by a share of 1 / ACCURACY at most.
 MIDDLE, ACCURACY = 0.001, 5000
@@ -20,7 +23,7 @@ def exact_median(rows: DataFrame, value: str, out: str) -> DataFrame:
     """
     sketch = F.percentile_approx(value, F.array(F.lit(0.5 - MIDDLE), F.lit(0.5 + MIDDLE)), ACCURACY)
     bounds = rows.groupBy("cloud").agg(sketch.alias("_b"), F.count(value).alias("_n"))
-    near = rows.select("cloud", F.col(value).alias("_v")).join(bounds, "cloud").where(F.col("_v") <= F.get("_b", F.lit(1)))
+    near = with_cloud(rows.select("cloud", F.col(value).alias("_v")), settle(bounds)).where(F.col("_v") <= F.get("_b", F.lit(1)))
     kept = F.when(F.col("_v") >= F.get("_b", F.lit(0)), F.col("_v"))  # null: all values below
     counts = near.groupBy("cloud", "_n", kept.alias("_v")).agg(F.count("*").alias("_c"))
     upto = Window.partitionBy("cloud").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
@@ -37,9 +40,9 @@ def numbered(rows: DataFrame, by: str, order: list, out: str) -> DataFrame:
     """
     steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
     bounds = rows.groupBy("cloud").agg(F.percentile_approx(by, steps, 10 * BUCKETS).alias("_q"))
-    dealt = rows.join(bounds, "cloud").withColumn("_b", F.size(F.filter("_q", lambda q: q <= F.col(by)))).drop("_q")
+    dealt = with_cloud(rows, settle(bounds)).withColumn("_b", F.size(F.filter("_q", lambda q: q <= F.col(by)))).drop("_q")
     within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("cloud", "_b").orderBy(*order)) - 1)
     counts = dealt.groupBy("cloud", "_b").agg(F.count("*").alias("_c"))
     upto = Window.partitionBy("cloud").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     before = counts.select("cloud", "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"))
-    return within.join(before, ["cloud", "_b"]).withColumn(out, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+    return within.join(shuffled(before), ["cloud", "_b"]).withColumn(out, F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")

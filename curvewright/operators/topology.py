@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES
+from ..functions.joins import shuffled
 from ..functions.lineage import settle
 from .components import connected_components
 from .neighbors import both_ways
@@ -18,7 +19,7 @@ from .order import numbered
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(cloud, id, degree); a self-loop counts twice, a node without edges has 0."""
     ends = edges.select("cloud", F.explode(F.array("src", "dst")).alias("id")).groupBy("cloud", "id").agg(F.count("*").cast("int").alias("_d"))
-    return nodes.select("cloud", "id").join(ends, ["cloud", "id"], "left").select("cloud", "id", F.coalesce("_d", F.lit(0)).alias("degree"))
+    return nodes.select("cloud", "id").join(shuffled(ends), ["cloud", "id"], "left").select("cloud", "id", F.coalesce("_d", F.lit(0)).alias("degree"))
 
 
 def node_kinds(degree: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def branch_points(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     """(cloud, branch_id, node_id, x, y, z): nodes of degree 3 and more, numbered by id within the cloud."""
     axes = [c for c in AXES if c in nodes.columns]
     picked = numbered(degree.where("degree >= 3").select("cloud", F.col("id").alias("node_id")), "node_id", ["node_id"], "branch_id")
-    placed = picked.join(nodes.select("cloud", F.col("id").alias("node_id"), *axes), ["cloud", "node_id"])
+    placed = picked.join(shuffled(nodes.select("cloud", F.col("id").alias("node_id"), *axes)), ["cloud", "node_id"])
     return placed.select("cloud", F.col("branch_id").cast("int").alias("branch_id"), "node_id", *axes)
 
 
@@ -52,16 +53,16 @@ def _paths(degree: DataFrame, edges: DataFrame) -> DataFrame:
     darts = both_ways(edges.select("cloud", "src", "dst")).withColumnRenamed("src", "u").withColumnRenamed("dst", "v")
     inner = degree.where("degree = 2").select("cloud", F.col("id").alias("u"))
     comps = connected_components(edges, settle, ("cloud",))
-    rings = comps.join(degree.withColumnRenamed("id", "node"), ["cloud", "node"]).groupBy("cloud", "root").agg(F.max("degree").alias("hi"), F.min("degree").alias("lo")).where("hi = 2 and lo = 2")
+    rings = comps.join(shuffled(degree.withColumnRenamed("id", "node")), ["cloud", "node"]).groupBy("cloud", "root").agg(F.max("degree").alias("hi"), F.min("degree").alias("lo")).where("hi = 2 and lo = 2")
     cut = rings.select("cloud", F.col("root").alias("u"))
-    passing = darts.join(inner, ["cloud", "u"], "left_semi").join(cut, ["cloud", "u"], "left_anti")
+    passing = darts.join(shuffled(inner), ["cloud", "u"], "left_semi").join(shuffled(cut), ["cloud", "u"], "left_anti")
     before = darts.select("cloud", F.col("u").alias("pu"), F.col("v").alias("u"))
-    linked = passing.join(before, ["cloud", "u"]).where("pu <> v")
-    state = darts.join(linked, ["cloud", "u", "v"], "left").select("cloud", "u", "v", F.coalesce("pu", "u").alias("pu"), F.when(F.col("pu").isNull(), F.col("v")).otherwise(F.col("u")).alias("pv"), F.col("pu").isNotNull().cast("long").alias("d"))
+    linked = passing.join(shuffled(before), ["cloud", "u"]).where("pu <> v")
+    state = darts.join(shuffled(linked), ["cloud", "u", "v"], "left").select("cloud", "u", "v", F.coalesce("pu", "u").alias("pu"), F.when(F.col("pu").isNull(), F.col("v")).otherwise(F.col("u")).alias("pv"), F.col("pu").isNotNull().cast("long").alias("d"))
     state = settle(state)
     while True:
         jump = state.select("cloud", F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("d").alias("e"))
-        new = settle(state.join(jump, ["cloud", "pu", "pv"]).select("cloud", "u", "v", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("d") + F.col("e")).alias("d"), (F.col("e") > 0).alias("moved")))
+        new = settle(state.join(shuffled(jump), ["cloud", "pu", "pv"]).select("cloud", "u", "v", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("d") + F.col("e")).alias("d"), (F.col("e") > 0).alias("moved")))
         moved = not new.where("moved").isEmpty()
         state = new.drop("moved")
         if not moved:
@@ -71,7 +72,7 @@ def _paths(degree: DataFrame, edges: DataFrame) -> DataFrame:
     last, hop_back = F.element_at("points", -1), F.element_at("points", -2)
     a, first = F.element_at("points", 1), F.element_at("points", 2)
     kept = chains.where((a < last) | ((a == last) & (first <= hop_back)))
-    loops = cut.select("cloud", F.col("u").alias("_cut"))
+    loops = shuffled(cut.select("cloud", F.col("u").alias("_cut")))
     return kept.join(loops, (kept.cloud == loops.cloud) & (F.element_at("points", 1) == F.col("_cut")), "left").select(kept.cloud, "points", F.col("_cut").isNotNull().alias("loop"))
 
 
@@ -99,7 +100,7 @@ def segments(nodes: DataFrame, edges: DataFrame, degree: DataFrame | None = None
     )
     branch = settle(numbered(degree.where("degree >= 3").select("cloud", "id"), "id", ["id"], "_branch"))
     for side in ("a", "b"):
-        rows = rows.join(branch.select("cloud", F.col("id").alias(f"end_node_{side}"), F.col("_branch").cast("int").alias(f"end_{side}")), ["cloud", f"end_node_{side}"], "left")
+        rows = rows.join(shuffled(branch.select("cloud", F.col("id").alias(f"end_node_{side}"), F.col("_branch").cast("int").alias(f"end_{side}"))), ["cloud", f"end_node_{side}"], "left")
     rows = settle(rows)
     # Anchored chains come first, then loops, then isolates: each class is numbered by its first nodes.
     first = F.element_at("points", 1)
@@ -109,7 +110,7 @@ def segments(nodes: DataFrame, edges: DataFrame, degree: DataFrame | None = None
     sizes = rows.groupBy("cloud", "class").agg(F.count("*").alias("_size"))
     earlier = Window.partitionBy("cloud").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_past", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-    rows = rows.join(sizes.select("cloud", "class", "_past"), ["cloud", "class"])
+    rows = rows.join(shuffled(sizes.select("cloud", "class", "_past")), ["cloud", "class"])
     distinct_ends = F.size(F.array_distinct(F.array_compact(F.array("end_a", "end_b")))).cast("int")
     rows = rows.withColumn("seg_id", (F.col("_number") + F.col("_past")).cast("int"))
     return rows.withColumn("n_branch_ends", distinct_ends).withColumn("n_points", F.size("points").cast("int")).select(*SEGMENT_COLUMNS)
@@ -122,7 +123,7 @@ def summary(nodes: DataFrame, degree: DataFrame, segs: DataFrame) -> DataFrame:
         F.count_if(F.col("closed") & (F.col("n_branch_ends") == 0)).alias("closed_loops"))
     kinds = degree.groupBy("cloud").agg(F.count_if(F.col("degree") >= 3).alias("branch_points"), F.count_if(F.col("degree") == 0).alias("isolated"))
     zero = {c: 0 for c in ("segments", "branch_ends_0", "branch_ends_1", "branch_ends_2", "closed_loops")}
-    return kinds.join(counted, "cloud", "left").fillna(zero).select("cloud", "branch_points", *zero, "isolated")
+    return kinds.join(shuffled(counted), "cloud", "left").fillna(zero).select("cloud", "branch_points", *zero, "isolated")
 
 
 def segment_edges(segs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, build_config, clean_config
 from ..functions.geometry import AXES
+from ..functions.joins import shuffled, with_cloud
 from ..functions.lineage import settle
 from ..operators import cleanup, neighbors, reduce, topology
 from ..sources import clouds
@@ -59,7 +60,7 @@ def extract(points: DataFrame, config: Config | None = None, keep_stages: bool =
     if cfg.reduce.mode != "auto":
         return _extract(points, cfg, cfg.reduce.mode, keep_stages, max_frames)
     votes = settle(reduce.auto_vote(points, cfg.reduce))
-    parts = [_extract(points.join(votes.where(F.col("chosen") == m), "cloud", "left_semi"), cfg, m, keep_stages, max_frames) for m in ("collapse", "surface") if not votes.where(F.col("chosen") == m).isEmpty()]
+    parts = [_extract(with_cloud(points, votes.where(F.col("chosen") == m), "left_semi"), cfg, m, keep_stages, max_frames) for m in ("collapse", "surface") if not votes.where(F.col("chosen") == m).isEmpty()]
     if not parts:
         return _extract(points, cfg, "surface", keep_stages, max_frames)
     names = ("nodes", "edges", "degree", "segments", "branch_points", "isolated", "membership")
@@ -87,7 +88,7 @@ def _extract(points: DataFrame, cfg: Config, mode: str, keep: bool, max_frames:
         stages["adjacency_edges"] = edges
     if mode != "surface" and cfg.neighbors.prune_shortcuts:
         kept = settle(neighbors.prune_shortcuts(edges))
-        stages["pruned_edges"] = edges.join(kept, ["cloud", "src", "dst"], "left_anti")
+        stages["pruned_edges"] = edges.join(shuffled(kept), ["cloud", "src", "dst"], "left_anti")
         edges = kept
     if mode != "surface" and cfg.junction_merge_factor > 0:
         gap = settle(cleanup.median_edge(nodes, edges).select("cloud", (F.col("median_edge") * float(cfg.junction_merge_factor)).alias("max_gap")))
@@ -96,7 +97,7 @@ def _extract(points: DataFrame, cfg: Config, mode: str, keep: bool, max_frames:
         if not merged.isEmpty():
             nodes, edges, moved = cleanup.merge_nodes(nodes, edges, merged)
             via = membership if membership is not None else points.select("cloud", "id", F.col("id").alias("node_id"))
-            membership = via.join(moved.select("cloud", F.col("id").alias("node_id"), F.col("node_id").alias("_to")), ["cloud", "node_id"]).select("cloud", "id", F.col("_to").alias("node_id"))
+            membership = via.join(shuffled(moved.select("cloud", F.col("id").alias("node_id"), F.col("node_id").alias("_to"))), ["cloud", "node_id"]).select("cloud", "id", F.col("_to").alias("node_id"))
     found = extract_topology(edges, nodes, cfg.min_stub_points if mode != "surface" else 0, membership)
     found.stages = {**stages, "mode": points.select("cloud", F.lit(mode).alias("effective_mode")).distinct()} if keep else {}
     return found
@@ -152,11 +153,11 @@ def associate(points: DataFrame, found: Topology) -> DataFrame:
     hops = topology.segment_edges(found.segments)
     at = found.nodes.select("cloud", "id", *AXES)
     a, b = (at.select("cloud", F.col("id").alias(s), *[F.col(c).alias(f"{s}{c}") for c in AXES]) for s in ("a", "b"))
-    hops = hops.join(a, ["cloud", "a"]).join(b, ["cloud", "b"])
+    hops = hops.join(shuffled(a), ["cloud", "a"]).join(shuffled(b), ["cloud", "b"])
     length = F.sqrt(sum(((F.col(f"b{c}") - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in AXES), F.lit(0.0)))
     order = Window.partitionBy("cloud", "seg_id").orderBy("idx")
     hops = hops.withColumn("len", length).withColumn("cum", F.sum("len").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len"))
-    pairs = points.select("cloud", "id", *AXES).join(hops, "cloud")
+    pairs = points.select("cloud", "id", *AXES).join(shuffled(hops), "cloud")
     dot = sum(((F.col(c) - F.col(f"a{c}")) * (F.col(f"b{c}") - F.col(f"a{c}")) for c in AXES), F.lit(0.0))
     t = F.when(F.col("len") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (F.col("len") * F.col("len"))))).otherwise(0.0)
     pairs = pairs.withColumn("t", t)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, ReduceConfig, build_config
 from ..functions.geometry import AXES
+from ..functions.joins import shuffled, with_cloud
 from ..functions.lineage import settle
 from ..operators import cleanup, neighbors, reduce, topology
 from ..operators.components import connected_components
@@ -176,7 +177,7 @@ def _prune5(s, d):
 @_query("trace_pruned", _sql("d1", "SELECT src, dst FROM e EXCEPT SELECT src, dst FROM k"))
 def _pruned(s, d):
     edges = settle(neighbors.radius_edges(cloud_d1(s, d)))
-    return edges.join(neighbors.prune_shortcuts(edges), ["cloud", "src", "dst"], "left_anti").select("src", "dst")
+    return edges.join(shuffled(neighbors.prune_shortcuts(edges)), ["cloud", "src", "dst"], "left_anti").select("src", "dst")
 
 
 @_query("ball_counts", _sql("d1", "SELECT p.id, 1 + count(s.src) AS n FROM p LEFT JOIN s ON s.src = p.id GROUP BY p.id", 2.5))
@@ -408,15 +409,15 @@ def _residual(s, d):
     e = settle(neighbors.radius_edges(p, 2.5).select("cloud", "src", "dst"))
     frames = settle(reduce.contraction_frames(p, e, cfg).withColumn("cloud", F.struct("cloud", "frame")))
     steps = frames.select("cloud").distinct()
-    copies = e.withColumnRenamed("cloud", "_c").join(steps, F.col("_c") == F.col("cloud.cloud")).select("cloud", "src", "dst")
+    copies = e.withColumnRenamed("cloud", "_c").join(shuffled(steps), F.col("_c") == F.col("cloud.cloud")).select("cloud", "src", "dst")
     once = settle(reduce.laplacian_apply(frames, copies).select("cloud", "id", *[F.col(f"l{c}").alias(c) for c in AXES]))
     twice = reduce.laplacian_apply(once, copies)
-    degree = p.groupBy("cloud").agg(F.count("*").alias("n")).join(e.groupBy("cloud").agg(F.count("*").alias("m")), "cloud", "left")
+    degree = p.groupBy("cloud").agg(F.count("*").alias("n")).join(shuffled(e.groupBy("cloud").agg(F.count("*").alias("m"))), "cloud", "left")
     first = degree.select("cloud", (cfg.wh / F.greatest(F.lit(1.0), 2 * F.coalesce("m", F.lit(0)) / F.col("n"))).alias("wl"))
-    hold = reduce.anchor_weights(p, e, cfg.boundary_anchor).join(first, "cloud")
+    hold = with_cloud(reduce.anchor_weights(p, e, cfg.boundary_anchor), settle(first))
     flat = lambda df, name: df.select(F.col("cloud.cloud").alias("cloud"), F.col("cloud.frame").alias("frame"), "id", *[F.col(c).alias(f"{name}{c[-1]}") for c in df.columns[2:]])
     now, before = flat(frames.select("cloud", "id", *AXES), "n"), flat(frames.select("cloud", "id", *AXES), "b").withColumn("frame", F.col("frame") + 1)
-    rows = now.where("frame > 0").join(before, ["cloud", "frame", "id"]).join(flat(twice, "l"), ["cloud", "frame", "id"]).join(hold, ["cloud", "id"])
+    rows = now.where("frame > 0").join(shuffled(before), ["cloud", "frame", "id"]).join(shuffled(flat(twice, "l")), ["cloud", "frame", "id"]).join(shuffled(hold), ["cloud", "id"])
     weight, growth = (cfg.wh * F.col("anchor")) ** 2, F.pow(F.col("wl") * F.pow(F.lit(cfg.sl), F.col("frame") - 1), 2)
     left = [F.abs(growth * F.col(f"l{c}") + weight * (F.col(f"n{c}") - F.col(f"b{c}"))) / (weight + growth) for c in AXES]
     return rows.groupBy("id").agg((F.round(F.max(F.greatest(*left)), 6) + 0.0).alias("residual"))
