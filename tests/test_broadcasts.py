@@ -11,7 +11,7 @@ from curvewright.functions.lineage import settle
 from curvewright.operators import components
 from curvewright.plans import queries
 
-QUERIES = ["local_dim"]
+QUERIES = ["anchor_weights", "auto_vote", "local_dim", "rng_prune_d5"]
 
 
 @pytest.fixture(scope="module")
