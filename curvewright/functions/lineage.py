@@ -35,6 +35,11 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_points(points: DataFrame) -> DataFrame:
+    """Settle points dealt over the cores: a compressed table of a few MB is read by one task, whatever grows from it."""
+    return settle(points.repartition("cloud", "id"))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this application settled; results that still read them can no longer be used."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

@@ -5,6 +5,8 @@ Points are (cloud, id, x, y, z); edges are (cloud, src, dst, w) with src < dst.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,42 +20,65 @@ from .order import exact_median
 EPS = 1e-9
 
 
-def _cells(points: DataFrame, radius: Column, sent: bool) -> DataFrame:
-    """points with the cubic cell cx, cy, cz that each is in, as wide as the radius; ``sent`` to all 27 around it.
+def _cells(points: DataFrame, radius: Column, sent: str = "") -> DataFrame:
+    """points with the cubic cell cx, cy, cz that each is in, as wide as the radius; ``sent`` to the cells around it.
 
-    A cell is a hair wider than the radius, so that pairs exactly at it never stand two cells apart; a radius of zero
-    needs any width.
+    Sent to "all", a point stands in its own cell and the 26 around it; to "half", in its own (where ``own`` is true)
+    and the 13 that follow it. A cell is a hair wider than the radius, so that pairs exactly at it never stand two
+    cells apart; a radius of zero needs any width.
     """
     width = F.when(radius > 0, radius * (1 + 1e-9)).otherwise(1.0)
     found = points.select("*", *[F.floor(F.col(c) / width).alias(f"c{c}") for c in AXES])
     if not sent:
         return found
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    steps = [s for s in product((-1, 0, 1), repeat=len(AXES)) if sent == "all" or s >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(i).alias(c) for c, i in zip(AXES, s, strict=True)]) for s in steps]))
+    own = F.lit(True)
     for c in AXES:
-        found = found.withColumn(f"_{c}", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"_{c}")).drop(f"_{c}")
-    return found
+        own &= F.col(f"_step.{c}") == 0
+    moved = {f"c{c}": F.col(f"c{c}") + F.col(f"_step.{c}") for c in AXES}
+    return found.withColumn("_step", step).withColumns({**moved, "own": own}).drop("_step")
 
 
-def _meet(asking: DataFrame, everyone: DataFrame, ordered: bool) -> DataFrame:
-    """(cloud, src, dst, w) of an asking point and another at most its ``r`` apart, from rows with cells.
+def _meet(asking: DataFrame, everyone: DataFrame, more: tuple[Column, ...] = (), half: bool = False) -> DataFrame:
+    """(cloud, src, dst, w, more...) of an asking point a and another b at most a's ``r`` apart, from rows with cells.
 
-    One side is sent to its 27 neighbouring cells, so the join is an equi-join on the cell and a pair meets once.
+    One side is sent to neighbouring cells, so the join is an equi-join on the cell and a pair meets once each way;
+    sent to half of them, once in all, and src is the one that was sent.
     """
     a, b = asking.alias("a"), shuffled(everyone).alias("b")
     same = F.col("a.cloud") == F.col("b.cloud")
     for c in AXES:
         same &= F.col(f"a.c{c}") == F.col(f"b.c{c}")
-    apart = F.col("a.id") < F.col("b.id") if ordered else F.col("a.id") != F.col("b.id")
+    apart = F.col("a.id") != F.col("b.id")
+    if half:
+        apart &= ~F.col("a.own") | (F.col("a.id") < F.col("b.id"))
     w = distance("a", "b")
     joined = a.join(b, same & apart & (w <= F.col("a.r")))
-    return joined.select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), w.alias("w"))
+    return joined.select(F.col("a.cloud").alias("cloud"), F.col("a.id").alias("src"), F.col("b.id").alias("dst"), w.alias("w"), *more)
+
+
+def _pairs(points: DataFrame, radius: Column, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Every pair of points at most ``radius`` apart once, in either order."""
+    wide = points.select("cloud", "id", *AXES, radius.alias("r"))
+    return _meet(_cells(wide, F.col("r"), "half"), _cells(wide, F.col("r")), more, True)
 
 
 def pairs_within(points: DataFrame, radius: Column | float) -> DataFrame:
-    """(cloud, src, dst, w) of all pairs, src < dst, at most ``radius`` apart (a number or a column), inclusive."""
-    r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    wide = points.select("cloud", "id", *AXES, r.alias("r"))
-    return _meet(_cells(wide, F.col("r"), True), _cells(wide, F.col("r"), False), True)
+    """(cloud, src, dst, w) of all pairs, src < dst, at most ``radius`` apart (a number or a cloud's), inclusive."""
+    pairs = _pairs(points, radius if isinstance(radius, Column) else F.lit(float(radius)))
+    return pairs.select("cloud", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
+
+
+def offsets_within(points: DataFrame, radius: Column) -> DataFrame:
+    """(cloud, id, ox, oy, oz) for each other point at most ``radius`` from each point."""
+    return turned_offsets(_pairs(points, radius, tuple((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"o{c}") for c in AXES)))
+
+
+def turned_offsets(pairs: DataFrame) -> DataFrame:
+    """(cloud, id, ox, oy, oz) for both ends of pairs (cloud, src, dst, ox, oy, oz), whose offsets lead from src to dst."""
+    ways = [F.struct(F.col(end).alias("id"), *[(F.col(f"o{c}") * sign).alias(f"o{c}") for c in AXES]) for end, sign in (("src", 1.0), ("dst", -1.0))]
+    return pairs.select("cloud", F.explode(F.array(*ways)).alias("_way")).select("cloud", "_way.*")
 
 
 def _start_radius(points: DataFrame) -> DataFrame:
@@ -81,8 +106,10 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     waiting, found, wider = everyone, None, 1
     while True:
         radius = F.col("r") * wider
-        asking = _cells(waiting, radius, True).withColumn("r", radius)
-        pairs = _meet(asking, _cells(everyone, radius, False), False)
+        if found is None:
+            pairs = both_ways(_pairs(everyone, radius))
+        else:
+            pairs = _meet(_cells(waiting, radius, "all").withColumn("r", radius), _cells(everyone, radius))
         if k == 1:
             hit = pairs.groupBy("cloud", "src").agg(F.min(F.struct("w", "dst")).alias("h")).select("cloud", "src", "h.dst", "h.w", F.lit(1).alias("m"))
         else:

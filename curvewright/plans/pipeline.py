@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Config, build_config, clean_config
 from ..functions.geometry import AXES
 from ..functions.joins import shuffled, with_cloud
-from ..functions.lineage import settle
+from ..functions.lineage import settle, settle_points
 from ..operators import cleanup, neighbors, reduce, topology
 from ..sources import clouds
 
@@ -56,7 +56,7 @@ def extract_topology(edges: DataFrame, nodes: DataFrame, min_stub_points: int =
 def extract(points: DataFrame, config: Config | None = None, keep_stages: bool = False, max_frames: int = 0) -> Topology:
     """Points (cloud, id, x, y, z) to topology. In mode auto each cloud goes the way that its own vote says."""
     cfg = (config or Config()).check()
-    points = settle(points.select("cloud", "id", *AXES))
+    points = settle_points(points.select("cloud", "id", *AXES))
     if cfg.reduce.mode != "auto":
         return _extract(points, cfg, cfg.reduce.mode, keep_stages, max_frames)
     votes = settle(reduce.auto_vote(points, cfg.reduce))

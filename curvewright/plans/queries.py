@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config, ReduceConfig, build_config
 from ..functions.geometry import AXES
 from ..functions.joins import shuffled, with_cloud
-from ..functions.lineage import settle
+from ..functions.lineage import settle, settle_points
 from ..operators import cleanup, neighbors, reduce, topology
 from ..operators.components import connected_components
 from ..sources import clouds
@@ -123,7 +123,7 @@ def _r6(*names: str) -> list:
 
 
 def _edges(spark: SparkSession, d: str, cloud: Query = cloud_d1) -> tuple[DataFrame, DataFrame]:
-    points = settle(cloud(spark, d))
+    points = settle_points(cloud(spark, d))
     return points, settle(neighbors.prune_shortcuts(settle(neighbors.radius_edges(points))))
 
 
@@ -131,7 +131,7 @@ def _edges(spark: SparkSession, d: str, cloud: Query = cloud_d1) -> tuple[DataFr
 
 for _name, _cloud in (("d1", cloud_d1), ("d2", cloud_d2), ("d3", cloud_d3), ("d4", cloud_d4), ("d5", cloud_d5)):
     _query("pitch" if _name == "d1" else f"pitch_{_name}", _sql(_name, "SELECT cloud, round(pitch, 6) + 0.0 AS pitch FROM pitch"))(
-        lambda s, d, c=_cloud: neighbors.pitch(settle(c(s, d))).select("cloud", *_r6("pitch"))
+        lambda s, d, c=_cloud: neighbors.pitch(settle_points(c(s, d))).select("cloud", *_r6("pitch"))
     )
 
 
@@ -160,7 +160,7 @@ SELECT k.cloud, n - 1 AS n_edges, round(sum(w) - CASE WHEN count(*) = n THEN max
 @_query("mst_weight", _sql("d3", "", extra=_LOOP_WEIGHT))
 def _mst_weight(s, d):
     """The spanning tree of a loop is the loop without its longest edge, of an arc the arc; the SQL says it by their edges."""
-    found = neighbors.mst_edges(settle(cloud_d3(s, d))).groupBy("cloud").agg(F.count("*").alias("n_edges"), F.sum("w").alias("weight"))
+    found = neighbors.mst_edges(settle_points(cloud_d3(s, d))).groupBy("cloud").agg(F.count("*").alias("n_edges"), F.sum("w").alias("weight"))
     return found.select("cloud", "n_edges", *_r6("weight"))
 
 
@@ -171,7 +171,7 @@ def _prune(s, d):
 
 @_query("rng_prune_d5", _sql("d5", f"SELECT src, dst, {_R6.format('w', 'w')} FROM k", 2.5))
 def _prune5(s, d):
-    return neighbors.prune_shortcuts(settle(neighbors.radius_edges(settle(cloud_d5(s, d)), 2.5))).select("src", "dst", *_r6("w"))
+    return neighbors.prune_shortcuts(settle(neighbors.radius_edges(settle_points(cloud_d5(s, d)), 2.5))).select("src", "dst", *_r6("w"))
 
 
 @_query("trace_pruned", _sql("d1", "SELECT src, dst FROM e EXCEPT SELECT src, dst FROM k"))
@@ -320,7 +320,7 @@ def _consolidate_edges(s, d):
 
 @_query("laplacian_apply", _sql("d1", f"SELECT a.id, {', '.join(f'round(coalesce(sum(a.{c} - b.{c}), 0.0), 6) + 0.0 AS l{c}' for c in AXES)} FROM p a LEFT JOIN s ON s.src = a.id LEFT JOIN p b ON b.id = s.dst GROUP BY a.id", 2.5))
 def _laplacian(s, d):
-    p = settle(cloud_d1(s, d))
+    p = settle_points(cloud_d1(s, d))
     return reduce.laplacian_apply(p, neighbors.radius_edges(p, 2.5)).select("id", *_r6("lx", "ly", "lz"))
 
 
@@ -329,7 +329,7 @@ _MOMENT_SQL = ", ".join(f"round(sum((b.{m[0]} - a.{m[0]}) * (b.{m[1]} - a.{m[1]}
 
 @_query("anchor_moments", _sql("d1", f"SELECT a.id, count(*) AS n, {_MOMENT_SQL}, {', '.join(f'round(avg(b.{c} - a.{c}), 6) + 0.0 AS m{c}' for c in AXES)}, round(avg(s.w), 6) + 0.0 AS mean_len FROM p a JOIN s ON s.src = a.id JOIN p b ON b.id = s.dst GROUP BY a.id", 2.5))
 def _moments(s, d):
-    p = settle(cloud_d1(s, d))
+    p = settle_points(cloud_d1(s, d))
     return reduce.anchor_moments(p, neighbors.radius_edges(p, 2.5)).select("id", "n", *_r6("xx", "xy", "xz", "yy", "yz", "zz", "mx", "my", "mz", "mean_len"))
 
 
@@ -353,7 +353,7 @@ SELECT p.id, round(1 + 8 * CASE WHEN n >= 3 THEN score ELSE 1 END, 3) + 0.0 AS a
 
 @_query("anchor_weights", _sql("d5", "", 2.5, _ANCHOR_SQL))
 def _anchor(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle_points(cloud_d5(s, d))
     found = reduce.anchor_weights(p, neighbors.radius_edges(p, 2.5), 8.0)
     return found.select("id", (F.round("anchor", 3) + 0.0).alias("anchor"))
 
@@ -367,7 +367,7 @@ shape AS (SELECT id, cloud, CASE WHEN n >= 3 AND l1 > 0 THEN (3 * q - l1 - l3) /
 
 @_query("local_dim", _sql("d5", "SELECT id, round(r2, 4) + 0.0 AS r2, round(r3, 4) + 0.0 AS r3 FROM shape", 2.5, _SHAPES))
 def _local(s, d):
-    return reduce.local_shape(settle(cloud_d5(s, d))).select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("r2", "r3")])
+    return reduce.local_shape(settle_points(cloud_d5(s, d))).select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("r2", "r3")])
 
 
 _VOTE = "SELECT cloud, round(avg((r2 > 0.35 AND r3 < 0.2)::INTEGER), 6) + 0.0 AS sheet_fraction, CASE WHEN avg((r2 > 0.35 AND r3 < 0.2)::INTEGER) > 0.5 THEN 'collapse' ELSE 'surface' END AS chosen FROM shape GROUP BY cloud"
@@ -375,7 +375,7 @@ _VOTE = "SELECT cloud, round(avg((r2 > 0.35 AND r3 < 0.2)::INTEGER), 6) + 0.0 AS
 
 @_query("auto_vote", _sql("d5", _VOTE, 2.5, _SHAPES))
 def _vote(s, d):
-    return reduce.auto_vote(settle(cloud_d5(s, d)), ReduceConfig()).select("cloud", *_r6("sheet_fraction"), "chosen")
+    return reduce.auto_vote(settle_points(cloud_d5(s, d)), ReduceConfig()).select("cloud", *_r6("sheet_fraction"), "chosen")
 
 
 _COLLAPSE = ", ml AS (SELECT src AS id, max(w) AS m FROM s GROUP BY src), m AS (SELECT e.src, e.dst FROM e JOIN ml a ON a.id = e.src JOIN ml b ON b.id = e.dst WHERE e.w < 0.5 * least(a.m, b.m))"
@@ -383,19 +383,19 @@ _COLLAPSE = ", ml AS (SELECT src AS id, max(w) AS m FROM s GROUP BY src), m AS (
 
 @_query("collapse_clusters", _sql("d1", "SELECT id, node_id FROM mem", 2.5, _COLLAPSE + _CLUSTER))
 def _clusters(s, d):
-    p = settle(cloud_d1(s, d))
+    p = settle_points(cloud_d1(s, d))
     return reduce.edge_collapse(p, settle(neighbors.radius_edges(p, 2.5)))[2].select("id", "node_id")
 
 
 @_query("collapse_edges", _sql("d1", _NEW_EDGES.format("e"), 2.5, _COLLAPSE + _CLUSTER))
 def _collapsed_edges(s, d):
-    p = settle(cloud_d1(s, d))
+    p = settle_points(cloud_d1(s, d))
     return reduce.edge_collapse(p, settle(neighbors.radius_edges(p, 2.5)))[1].select("src", "dst")
 
 
 @_query("contract")
 def _contract(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle_points(cloud_d5(s, d))
     return reduce.contract_points(p, settle(neighbors.radius_edges(p, 2.5)), ReduceConfig()).select("id", *_r6(*AXES))
 
 
@@ -405,7 +405,7 @@ def _residual(s, d):
 
     The system is applied by joins and sums, not by the solver's kernel.
     """
-    cfg, p = ReduceConfig(), settle(cloud_d5(s, d))
+    cfg, p = ReduceConfig(), settle_points(cloud_d5(s, d))
     e = settle(neighbors.radius_edges(p, 2.5).select("cloud", "src", "dst"))
     frames = settle(reduce.contraction_frames(p, e, cfg).withColumn("cloud", F.struct("cloud", "frame")))
     steps = frames.select("cloud").distinct()
@@ -425,14 +425,14 @@ def _residual(s, d):
 
 @_query("contraction_frames")
 def _frames(s, d):
-    p = settle(cloud_d5(s, d))
+    p = settle_points(cloud_d5(s, d))
     frames = reduce.contraction_frames(p, settle(neighbors.radius_edges(p, 2.5)), ReduceConfig(), pipeline.frame_numbers(10, 12))
     return frames.select("frame", "id", *_r6(*AXES))
 
 
 @_query("collapse")
 def _collapse(s, d):
-    return reduce.collapse(settle(cloud_d5(s, d)), ReduceConfig(mode="collapse"))[0].select("cloud", "id", *_r6(*AXES))
+    return reduce.collapse(settle_points(cloud_d5(s, d)), ReduceConfig(mode="collapse"))[0].select("cloud", "id", *_r6(*AXES))
 
 
 # ---- pipeline ------------------------------------------------------------------------------------------------------
@@ -492,7 +492,7 @@ SELECT cloud, id, seg_id, idx::INTEGER AS idx, round(t, 6) + 0.0 AS t, round(d_p
 
 @_query("associate", _sql("d2", "", extra=_WALK + _HOPS))
 def _associate(s, d):
-    p = settle(cloud_d2(s, d))
+    p = settle_points(cloud_d2(s, d))
     found = pipeline.associate(p, pipeline.extract(p))
     return found.select("cloud", "id", "seg_id", F.col("idx").cast("int").alias("idx"), *_r6("t", "d_perp", "foot_arclength"))
 

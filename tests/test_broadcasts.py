@@ -7,11 +7,13 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from curvewright.functions import joins
-from curvewright.functions.lineage import settle
+from curvewright.functions.lineage import settle, settle_points
 from curvewright.operators import components
 from curvewright.plans import queries
 
 QUERIES = ["anchor_weights", "auto_vote", "local_dim", "rng_prune_d5"]
+QUERIES += ["collapse", "contract", "contract_residual", "contraction_frames", "extract_collapse", "extract_none", "extract_none_d2", "extract_none_d3", "extract_surface"]
+QUERIES += ["mst_weight", "trace_json", "associate", "segments_loop", "trace"]
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,11 @@ def test_tables_of_clouds_are_counted(spark, monkeypatch, most, found):
     met = joins.with_cloud(rows, table)
     assert len(broadcast_keys(met)) == found
     assert sorted((r.id, r.n) for r in met.collect()) == [(i, i % 3) for i in range(9)]
+
+
+def test_points_of_one_file_are_dealt_over_tasks(spark):
+    n = 200_000
+    points = spark.range(0, n, 1, 1).select(F.lit("0").alias("cloud"), "id", *[F.rand(i).alias(c) for i, c in enumerate("xyz")])
+    dealt = settle_points(points)
+    assert len(settle(points).inputFiles()) == 1 < len(dealt.inputFiles())
+    assert dealt.agg(F.count("*"), F.countDistinct("id")).first() == (n, n)

@@ -269,3 +269,18 @@ def test_contraction_that_does_not_settle_is_an_error(monkeypatch):
     monkeypatch.setattr("curvewright.functions.kernels.CG_STEPS", 1)
     with pytest.raises(ArithmeticError):
         contract(np.random.default_rng(0).normal(size=(60, 3)), np.arange(59), np.arange(1, 60), np.ones(60), 0.5, 1.6, 5)
+
+
+def test_every_pair_within_the_radius_is_met_once(spark):
+    """On a lattice whose step is the radius all pairs stand at it, in every direction of neighbouring cells; two points coincide."""
+    at = np.array([(x, y, z) for x in range(-1, 2) for y in range(-1, 2) for z in range(-1, 2)] + [(0, 0, 0)], dtype=float)
+    points = from_array(spark, at[np.random.default_rng(5).permutation(len(at))])
+    place = np.array([(r.x, r.y, r.z) for r in sorted(points.collect(), key=lambda r: r.id)])
+    w = np.sqrt(((place[:, None] - place[None]) ** 2).sum(-1))
+    for radius in (1.0, 3**0.5, 0.0):
+        got = sorted((r.src, r.dst) for r in neighbors.pairs_within(points, radius).collect())
+        assert got == [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(w <= radius, 1)), strict=True)], radius
+        offsets = neighbors.offsets_within(points, F.lit(radius)).groupBy("id").agg(*[F.sum(f"o{c}").alias(c) for c in "xyz"]).collect()
+        near = (w <= radius) & ~np.eye(len(w), dtype=bool)
+        want = {i: (place[near[i]] - place[i]).sum(0) for i in np.nonzero(near.any(1))[0]}
+        assert {r.id for r in offsets} == set(want) and all(np.allclose((r.x, r.y, r.z), want[r.id]) for r in offsets)
