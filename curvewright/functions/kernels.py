@@ -34,6 +34,19 @@ def lopsidedness(m: pd.DataFrame) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (mean * mean).sum(1) - along**2)) / (m["mean_len"].to_numpy(dtype=float) + 1e-9)
 
 
+def least_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least node of each node's component in a graph of nodes 0 to n - 1: roots hang on lesser ones, paths halve."""
+    root = np.arange(n)
+    while len(left):
+        low, high = np.minimum(root[left], root[right]), np.maximum(root[left], root[right])
+        open_ = low != high
+        left, right = left[open_], right[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
 def contract(points: np.ndarray, left: np.ndarray, right: np.ndarray, anchor: np.ndarray, wl: float, growth: float, iterations: int) -> list[np.ndarray]:
     """All iterates of (wl² LᵀL + W²) P' = W² P with wl growing; L is the graph Laplacian, W the anchor weights.
 

@@ -108,6 +108,36 @@ def test_components(spark, monkeypatch, few):
     assert found == {**dict.fromkeys(range(31), 0), 50: 50, 55: 50, 60: 50}
 
 
+def test_whole_clouds_need_no_rounds_of_components(spark):
+    """A task joins what it holds of a cloud, so long chains with ids out of order are one table, not many rounds of them."""
+    order = np.random.default_rng(7).permutation(300)
+    edges = spark.createDataFrame([(c, int(a), int(b)) for c in "pq" for a, b in zip(order, order[1:])], "cloud string, src long, dst long")
+    tables = []
+    found = connected_components(edges, lambda df: tables.append(settle(df)) or tables[-1], ("cloud",))
+    assert sorted((r.cloud, r.node, r.root) for r in found.collect()) == [(c, n, 0) for c in "pq" for n in range(300)]
+    assert len(tables) == 1
+
+
+@pytest.mark.parametrize("most", [40, 10**6])
+def test_components_across_tasks_and_chunks(spark, monkeypatch, most):
+    """Clouds whose edges lie in several ranges and chunks are joined by the rounds that follow."""
+    monkeypatch.setattr("curvewright.operators.components.LOCAL_EDGES", most)
+    rng = np.random.default_rng(3)
+    pairs = [(c, int(a), int(b)) for c in "pq" for a, b in rng.integers(0, 120, (90, 2))]
+    edges = spark.createDataFrame(pairs, "cloud string, src long, dst long")
+    least = {(c, n): n for c, a, b in pairs for n in (a, b) if a != b}
+    for _ in range(120):
+        for c, a, b in pairs:
+            if a != b:
+                least[c, a] = least[c, b] = min(least[c, a], least[c, b])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the ranges become one task
+    try:
+        found = {(r.cloud, r.node): r.root for r in connected_components(edges, settle, ("cloud",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert found == least
+
+
 def test_tiny_clouds(spark):
     empty = from_array(spark, [])
     assert extract(empty).segments.isEmpty()
