@@ -93,9 +93,11 @@ def _start_radius(points: DataFrame) -> DataFrame:
     return occupied.select("cloud", "n", F.when(F.col("span") > 0, F.col("span") / F.pow(F.lit(2.0), fine)).otherwise(1.0).alias("r"))
 
 
-def nearest(points: DataFrame, k: int) -> DataFrame:
+def nearest(points: DataFrame, k: int, ends: bool = True) -> DataFrame:
     """(cloud, src, dst, w): the k nearest other points of every point, ties by id; fewer in tiny clouds.
 
+    Without ``ends``, for k = 1, only (cloud, src, w): the least of a plain number needs no sort of the pairs.
+
     Neighbours are told apart by id, so a coincident point is a neighbour at distance 0. The first radius comes from
     how many cells are occupied at halving widths; points that find k neighbours within it are final, the others go
     on with twice, then four times as much. Each round is one table.
@@ -110,7 +112,9 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
             pairs = both_ways(_pairs(everyone, radius))
         else:
             pairs = _meet(_cells(waiting, radius, "all").withColumn("r", radius), _cells(everyone, radius))
-        if k == 1:
+        if not ends:
+            hit = pairs.groupBy("cloud", "src").agg(F.min("w").alias("w")).withColumn("m", F.lit(1))
+        elif k == 1:
             hit = pairs.groupBy("cloud", "src").agg(F.min(F.struct("w", "dst")).alias("h")).select("cloud", "src", "h.dst", "h.w", F.lit(1).alias("m"))
         else:
             own = Window.partitionBy("cloud", "src")
@@ -126,7 +130,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
 
 def pitch(points: DataFrame) -> DataFrame:
     """(cloud, pitch): exact median over points of the distance to the nearest other point; 1.0 for single points."""
-    near = exact_median(nearest(points, 1), "w", "_p")
+    near = exact_median(nearest(points, 1, False), "w", "_p")
     return points.select("cloud").distinct().join(near, "cloud", "left").select("cloud", F.coalesce("_p", F.lit(1.0)).alias("pitch"))
 
 
