@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
     for each node, is broadcast when the edges were counted to be few; otherwise it is written first, so that both
     sides are plain shuffles and adaptive execution splits a node with very many edges. Rounds grow with the
     logarithm of the longest path. ``settle`` cuts lineage: it must materialise its argument where all executors can
-    read it.
+    read it. With text keys and whole numbers for nodes, tasks join what they hold of each cloud beforehand, so that only
+    clouds that lie in several tasks need rounds.
     """
     keys = list(keys)
     both = [*keys, "src", "dst"]
