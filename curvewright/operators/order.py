@@ -11,8 +11,8 @@ from ..functions.lineage import settle
 #: The middle of a cloud's values that is looked at one by one, as a share on either side of the median, and the
 #: accuracy of the sketch that bounds it: its ranks are off by a share of 1 / ACCURACY at most.
 MIDDLE, ACCURACY = 0.001, 5000
-#: Ranges of values in which a cloud's rows are numbered side by side.
-BUCKETS = 32
+#: Ranges of values in which a cloud's rows are numbered side by side, and rows up to which a cloud is one range.
+BUCKETS, RANGE_ROWS = 32, 10_000
 
 
 def exact_median(rows: DataFrame, value: str, out: str) -> DataFrame:
@@ -36,10 +36,12 @@ def numbered(rows: DataFrame, by: str, order: list, out: str) -> DataFrame:
     """rows with ``out``: 0-based numbers within the cloud in ``order``, whose first key is the number ``by``.
 
     Rows are dealt to ranges of ``by`` between approximate quantiles, numbered within them, and moved on by the
-    counts of the ranges before.
+    counts of the ranges before. A small cloud is one range and needs no quantiles.
     """
     steps = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    bounds = rows.groupBy("cloud").agg(F.percentile_approx(by, steps, 10 * BUCKETS).alias("_q"))
+    quantiles = F.percentile_approx(by, steps, 10 * BUCKETS)
+    quantiles = F.when(F.count("*") > RANGE_ROWS, quantiles).otherwise(F.array().cast(f"array<{rows.schema[by].dataType.simpleString()}>"))
+    bounds = rows.groupBy("cloud").agg(quantiles.alias("_q"))
     dealt = with_cloud(rows, settle(bounds)).withColumn("_b", F.size(F.filter("_q", lambda q: q <= F.col(by)))).drop("_q")
     within = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("cloud", "_b").orderBy(*order)) - 1)
     counts = dealt.groupBy("cloud", "_b").agg(F.count("*").alias("_c"))

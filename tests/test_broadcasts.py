@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curvewright.functions import joins
 from curvewright.functions.lineage import settle, settle_points
-from curvewright.operators import components
+from curvewright.operators import components, order
 from curvewright.plans import queries
 
 QUERIES = ["anchor_weights", "auto_vote", "local_dim", "rng_prune_d5"]
@@ -61,3 +61,29 @@ def test_points_of_one_file_are_dealt_over_tasks(spark):
     dealt = settle_points(points)
     assert len(settle(points).inputFiles()) == 1 < len(dealt.inputFiles())
     assert dealt.agg(F.count("*"), F.countDistinct("id")).first() == (n, n)
+
+
+@pytest.mark.parametrize("most, found", [(3 * 400, 1), (3 * 300, 0)])
+def test_wide_tables_of_few_clouds_are_not_broadcast(spark, monkeypatch, most, found):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", most)
+    rows = settle(spark.range(9).select((F.col("id") % 3).alias("cloud"), "id"))
+    table = settle(spark.range(3).select(F.col("id").alias("cloud"), F.array(*[F.lit(i) for i in range(40)]).alias("n")))
+    met = joins.with_cloud(rows, table)
+    assert len(broadcast_keys(met)) == found
+    assert sorted((r.id, len(r.n)) for r in met.collect()) == [(i, 40) for i in range(9)]
+
+
+@pytest.mark.parametrize("most, held", [(10, 0), (2, order.BUCKETS - 1)])
+def test_small_clouds_are_numbered_without_quantiles(spark, monkeypatch, most, held):
+    sizes = []
+
+    def kept(df):
+        sizes.append(df.agg(F.max(F.size("_q"))).first()[0])
+        return settle(df)
+
+    monkeypatch.setattr(order, "RANGE_ROWS", most)
+    monkeypatch.setattr(order, "settle", kept)
+    rows = spark.range(15).select((F.col("id") % 3).cast("string").alias("cloud"), (100 - F.col("id")).alias("v"))
+    found = {(r.cloud, r.v): r.n for r in order.numbered(rows, "v", ["v"], "n").collect()}
+    assert sizes == [held]
+    assert found == {(str(i % 3), 100 - i): 4 - i // 3 for i in range(15)}
