@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether joins ask that their sides be dealt by all keys.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
@@ -23,15 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/curvewright-{context.applicationId}"
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, dealt: bool = False) -> DataFrame:
     """Write df once as a table in the shared folder and read it back.
 
     A written table keeps size statistics (so that later joins can be planned by size) and column access, which a
-    checkpointed RDD does not.
+    checkpointed RDD does not. With ``dealt``, joins take sides that are both dealt by the same part of their keys as
+    they are, where Spark would deal them anew by all keys; that holds while the table is written and no longer.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ALL_KEYS)
+    try:
+        if dealt:
+            spark.conf.set(ALL_KEYS, "false")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ALL_KEYS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

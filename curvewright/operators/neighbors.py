@@ -5,6 +5,7 @@ Points are (cloud, id, x, y, z); edges are (cloud, src, dst, w) with src < dst.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,10 +76,10 @@ def offsets_within(points: DataFrame, radius: Column) -> DataFrame:
     return turned_offsets(_pairs(points, radius, tuple((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"o{c}") for c in AXES)))
 
 
-def turned_offsets(pairs: DataFrame) -> DataFrame:
-    """(cloud, id, ox, oy, oz) for both ends of pairs (cloud, src, dst, ox, oy, oz), whose offsets lead from src to dst."""
+def turned_offsets(pairs: DataFrame, keys: Sequence[str] = ("cloud",)) -> DataFrame:
+    """(keys..., id, ox, oy, oz) for both ends of pairs (keys..., src, dst, ox, oy, oz), whose offsets lead from src to dst."""
     ways = [F.struct(F.col(end).alias("id"), *[(F.col(f"o{c}") * sign).alias(f"o{c}") for c in AXES]) for end, sign in (("src", 1.0), ("dst", -1.0))]
-    return pairs.select("cloud", F.explode(F.array(*ways)).alias("_way")).select("cloud", "_way.*")
+    return pairs.select(*keys, F.explode(F.array(*ways)).alias("_way")).select(*keys, "_way.*")
 
 
 def _start_radius(points: DataFrame) -> DataFrame:

@@ -401,27 +401,10 @@ def _contract(s, d):
 
 @_query("contract_residual", "SELECT o_orderkey AS id, 0.0::DOUBLE AS residual FROM orders")
 def _residual(s, d):
-    """Every iterate solves its linear system: the largest part of the right side that is left over, for each point.
-
-    The system is applied by joins and sums, not by the solver's kernel. A point's row holds its places in all frames,
-    so that an edge is met once and not once for each frame.
-    """
-    cfg, p = ReduceConfig(), settle_points(cloud_d5(s, d))
-    e = settle(neighbors.radius_edges(p, 2.5).select("cloud", "src", "dst"))
-    steps = range(1, int(cfg.contraction_iterations) + 1)
-    places = [F.max(F.when(F.col("frame") == k, F.col(c))).alias(f"{c}{k}") for k in (0, *steps) for c in AXES]
-    frames = settle(reduce.contraction_frames(p, e, cfg).groupBy("cloud", "id").agg(*places))
-    moved = [f"{c}{k}" for k in steps for c in AXES]
-    once = settle(reduce.laplacian_apply(frames.select("cloud", "id", *moved), e, moved).select("cloud", "id", *[F.col(f"l{c}").alias(c) for c in moved]))
-    twice = reduce.laplacian_apply(once, e, moved)
-    degree = p.groupBy("cloud").agg(F.count("*").alias("n")).join(shuffled(e.groupBy("cloud").agg(F.count("*").alias("m"))), "cloud", "left")
-    first = degree.select("cloud", (cfg.wh / F.greatest(F.lit(1.0), 2 * F.coalesce("m", F.lit(0)) / F.col("n"))).alias("wl"))
-    hold = with_cloud(reduce.anchor_weights(p, e, cfg.boundary_anchor), settle(first))
-    rows = frames.join(shuffled(twice), ["cloud", "id"]).join(shuffled(hold), ["cloud", "id"])
-    weight = (cfg.wh * F.col("anchor")) ** 2
-    growth = {k: F.pow(F.col("wl") * cfg.sl ** (k - 1), 2) for k in steps}
-    left = [F.abs(growth[k] * F.col(f"l{c}{k}") + weight * (F.col(f"{c}{k}") - F.col(f"{c}{k - 1}"))) / (weight + growth[k]) for k in steps for c in AXES]
-    return rows.groupBy("id").agg((F.round(F.max(F.greatest(*left)), 6) + 0.0).alias("residual"))
+    """Every iterate solves its linear system: the largest part of the right side that is left over, for each point."""
+    p = settle_points(cloud_d5(s, d))
+    found = reduce.contraction_residual(p, settle(neighbors.radius_edges(p, 2.5).select("cloud", "src", "dst")), ReduceConfig())
+    return found.groupBy("id").agg((F.round(F.max("residual"), 6) + 0.0).alias("residual"))
 
 
 @_query("contraction_frames")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from curvewright.functions import joins
+from curvewright.functions import joins, lineage
 from curvewright.functions.lineage import settle, settle_points
 from curvewright.operators import components, order, reduce
 from curvewright.operators.neighbors import radius_edges
@@ -102,3 +102,46 @@ def test_residual_meets_an_edge_once_for_all_frames(spark, tables, monkeypatch):
     points = settle_points(queries.cloud_d5(spark, tables))
     assert met == [radius_edges(points, 2.5).count()] * 2
     assert len(rows) == 400 and not any(r.residual for r in rows)
+
+
+def shuffled_bytes(spark):
+    """Bytes that shuffles have written so far."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_frames_of_the_residual_travel_once(spark, tables):
+    """Ten frames of a point take 240 bytes; what its ten or so neighbours hold of them is not sent about."""
+    before = shuffled_bytes(spark)
+    assert len(queries.QUERIES["contract_residual"](spark, tables).collect()) == 400
+    assert shuffled_bytes(spark) - before < 400 * 2000
+
+
+def test_residual_of_a_wrong_iterate_and_of_clouds_without_a_system(spark, tmp_path, monkeypatch):
+    spark.range(386).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r for r in queries.QUERIES["contract_residual"](spark, str(tmp_path)).collect() if r.residual] == []
+    solve = reduce.contract
+
+    def moved(points, *more):
+        frames = solve(points, *more)
+        frames[7 % len(frames)][3 % len(points), 1] += 0.01
+        return frames
+
+    monkeypatch.setattr(reduce, "contract", moved)
+    wrong = {r.id for r in queries.QUERIES["contract_residual"](spark, str(tmp_path)).collect() if r.residual}
+    assert 3 in wrong and not wrong & {384, 385}
+
+
+def test_dealt_joins_hold_only_while_a_table_is_written(spark):
+    name, keys = lineage.ALL_KEYS, ["cloud", "id"]
+    left, right = (spark.range(60).select((F.col("id") % 3).alias("cloud"), "id", (F.col("id") * k).alias(f"v{k}")).repartition("cloud") for k in (2, 3))
+    before, started = spark.conf.get(name), shuffled_bytes(spark)
+    plain = settle(left.join(right.hint("merge"), keys))
+    between = shuffled_bytes(spark)
+    dealt = settle(left.join(right.hint("merge"), keys), dealt=True)
+    assert shuffled_bytes(spark) - between < between - started
+    assert sorted(dealt.collect()) == sorted(plain.collect()) == [(i % 3, i, 2 * i, 3 * i) for c in range(3) for i in range(c, 60, 3)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        settle(left.select((F.col("id") / F.lit(0)).alias("v")), dealt=True)
+    assert spark.conf.get(name) == before
