@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Whether joins ask that their sides be dealt by all keys.
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: Held while it is changed, so that queries side by side leave it as it was.
+_setting = threading.Lock()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,13 +38,17 @@ def settle(df: DataFrame, dealt: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(ALL_KEYS)
-    try:
-        if dealt:
-            spark.conf.set(ALL_KEYS, "false")
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ALL_KEYS, before)
+    write = df.write.option("compression", "zstd").parquet
+    if not dealt:
+        write(path)
+        return spark.read.schema(df.schema).parquet(path)
+    with _setting:
+        before = spark.conf.get(ALL_KEYS)
+        spark.conf.set(ALL_KEYS, "false")
+        try:
+            write(path)
+        finally:
+            spark.conf.set(ALL_KEYS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
