@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvewright.llm import common, fingerprints, html_extract, media, near_join, packing, pii, quality, sentencepieces, textvec, token_counts, toxicity
+from curvewright.llm import common, fingerprints, html_extract, media, near_join, packing, pii, quality, sentencepieces, textvec, token_counts, toxicity, word_merges
 from curvewright.llm.queries import tokenizer_path
 
 from .conftest import prose
@@ -87,6 +87,35 @@ def test_other_tokenizers_encode_texts_whole():
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(cases, path)] == [[*e.ids, 1] for e in whole]
 
 
+def test_words_of_letters_merge_in_arrays(monkeypatch):
+    """A corpus holds ever new words: none of them may cost a call of the library, whatever sign follows it."""
+    from tokenizers import Tokenizer
+
+    r, asked, fill = random.Random(5), [], packing._fill
+    parts = [*"abcdefghijklmnopqrstuvwxyzßéñüÿ", "th", "tion", "er", "lich", "ción"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 12)))[: r.randint(1, 16)] for _ in range(5000)]
+    cases = [" ".join(w + r.choice(["", "", ",", ".", "!!", "7", "'s", "\n"]) for w in r.choices(words, k=40)).capitalize() for _ in range(500)]
+    cases += [c * n for c in "aé" for n in (31, 32, 33, 34)] + ["x|<|endoftext|>y,", "÷a a÷ ×", "a\u0338, a<\u0338"]
+    monkeypatch.setattr(packing, "_words", {})
+    monkeypatch.setattr(packing, "_fill", lambda path, missing, cache: (asked.extend(missing), fill(path, missing, cache)))
+    whole = Tokenizer.from_file(WORD_BPE).encode_batch(cases, add_special_tokens=False)
+    for at_once in (1 << 15, 7):
+        monkeypatch.setattr(word_merges, "AT_ONCE", at_once)
+        assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(cases, WORD_BPE, None)] == [e.ids for e in whole]
+    assert not [w for w in asked if re.match("[a-zßéñüÿ]", w) and len(w.encode()) <= word_merges.LONGEST and "|" not in w and "\u0338" not in w and "÷" not in w]
+
+
+def test_special_tokens_with_signs_encode_texts_whole(tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    tokenizer.add_special_tokens(["<|a,b|>"])
+    tokenizer.save(path := str(tmp_path / "signs.json"))
+    cases = ["x <|a,b|> y", "a,b", ""]
+    assert not packing._goes_by_words(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(cases, path, None)] == [e.ids for e in tokenizer.encode_batch(cases, add_special_tokens=False)]
+
+
 def test_the_agenda_equals_the_library(monkeypatch):
     cases = FIXED_TEXTS + odd_texts(3000, 2)
     pieces = sentencepieces.PieceModel(tokenizer_path("piece_bpe_32k.model"))
